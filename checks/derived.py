@@ -77,7 +77,7 @@ def tokens(docs: DataFrame) -> DataFrame:
     with_previous = in_sentences.select(
         "doc_id",
         "dataset_name",
-        F.posexplode(
+        F.posexplode_outer(
             F.transform(
                 "toks",
                 lambda t, j: F.struct(
@@ -88,7 +88,7 @@ def tokens(docs: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("tok_id", "t"),
-    ).select("doc_id", "dataset_name", "tok_id", "t.*")
+    ).filter(F.col("tok_id").isNotNull()).select("doc_id", "dataset_name", "tok_id", "t.*")
     form = F.col("form")
     is_word = form.rlike(r"^[\p{L}\p{N}]")
     upos = (

@@ -31,6 +31,13 @@ from lexigauge.fixed_values import (
 )
 from lexigauge.operators.language import FREQUENCY_FLOOR
 
+
+
+def r6(expr: str) -> str:
+    """Six places by plain arithmetic, as the queries do it."""
+    return f"floor(({expr}) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+
+
 # --- Cleaning ------------------------------------------------------------------------
 
 
@@ -163,7 +170,7 @@ def metric(name: str, lang: str = "lang") -> str:
 
 
 def metrics(lang: str = "lang") -> str:
-    return ", ".join(f"round({metric(m, lang)}, 6) AS {m}" for m in READABILITY_METRICS)
+    return ", ".join(f"{r6(metric(m, lang))} AS {m}" for m in READABILITY_METRICS)
 
 
 WORD_LENGTH = "coalesce(n_word_chars / nullif(n_words, 0), 0.0::DOUBLE)"
@@ -306,7 +313,7 @@ TEXTS = {
                   FROM chunks c JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),
         {text_ctes("parts", "part", extra="d.doc_id")}
         SELECT doc_id, count(*) AS n_parts,
-               {", ".join(f"round(avg({metric(m)}), 6) AS {m}" for m in READABILITY_METRICS)}
+               {", ".join(f"{r6(f'avg({metric(m)})')} AS {m}" for m in READABILITY_METRICS)}
         FROM prof GROUP BY doc_id""",
     "homogeneity": f"""
         WITH {DOCS}, {pair_ctes("docs", "doc_id")}
@@ -439,7 +446,7 @@ def template_sql(by_sents: bool, by_words: bool) -> str:
         elif by_words and column in BY_WORDS:
             value = f"round({value} / nullif({_value(N_WORDS)}, 0), 6)"
         elif column.startswith(("readability", "syntactic", "text_homogeneity")):
-            value = f"round({value}, 6)"
+            value = r6(value)
         out.append(f"{value} AS {_q(column)}")
     return dataset_sql(out)
 
@@ -447,7 +454,7 @@ def template_sql(by_sents: bool, by_words: bool) -> str:
 _FLAT = [
     *[f"{c} AS basic_statistics_{c}" for c in ["n_sents", "n_words", *BASIC_BY_WORDS]],
     f"round({WORD_LENGTH}, 6) AS basic_statistics_avg_word_length",
-    *[f"round({metric(m)}, 6) AS readability_statistics_{m}" for m in READABILITY_METRICS],
+    *[f"{r6(metric(m))} AS readability_statistics_{m}" for m in READABILITY_METRICS],
     *[f"nullif({_q('pos_' + t)}, 0) AS {_q('pos_ner_analysis_pos_' + t)}" for t in POS_TAGS],
     *[f"nullif({_q('ner_' + e)}, 0) AS {_q('pos_ner_analysis_ner_' + e)}" for e in ENTITY_LABELS],
     *[

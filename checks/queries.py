@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import derived as D
 from lexigauge.fixed_values import READABILITY_METRICS
-from lexigauge.functions import clean_text, is_valid_text, sentences, words
+from lexigauge.functions import clean_text, is_valid_text
 from lexigauge.operators import annotations as A
 from lexigauge.operators import clean as P
 from lexigauge.operators import compare as C
@@ -34,14 +34,17 @@ CHUNK = 500
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of summation does not show."""
-    return df.select(
-        *[
-            F.round(H.column(c), digits).alias(c) if kind == "double" else H.column(c)
-            for c, kind in df.dtypes
-        ]
-    )
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to 6 places, so that the order of summation does not show.
+
+    By plain arithmetic: engines differ in how they round a double that prints as a tie.
+    """
+
+    def shown(c: str, kind: str):
+        value = H.column(c)
+        return (F.floor(value * 1e6 + 0.5) / 1e6).alias(c) if kind == "double" else value
+
+    return df.select(*[shown(c, kind) for c, kind in df.dtypes])
 
 
 # --- Cleaning ------------------------------------------------------------------------
@@ -152,7 +155,8 @@ def q_lang_profile(spark, sf):
 def q_lang_detect(spark, sf):
     docs = D.documents(spark, sf)
     profile = materialize(L.fit_profile(docs), "languages")
-    return L.detect_language(docs, profile, "doc_id")
+    frequent = materialize(L.frequent_words(docs, profile), "frequent_words")
+    return L.detect_language(docs, profile, "doc_id", frequent=frequent)
 
 
 # --- Texts ---------------------------------------------------------------------------
@@ -169,13 +173,11 @@ def q_sentence_chunks(spark, sf):
 
 
 def q_sentence_split(spark, sf):
-    docs = D.documents(spark, sf)
-    return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sent_id", "sentence"))
+    return T.sentence_table(D.documents(spark, sf), ["doc_id"])
 
 
 def q_word_tokens(spark, sf):
-    docs = D.documents(spark, sf)
-    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("word_id", "word"))
+    return T.word_table(D.documents(spark, sf), ["doc_id"])
 
 
 def q_doc_basic_stats(spark, sf):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexigauge.fixed_values import WHITESPACE, WS
+from lexigauge.fixed_values import JAVA_WS as WS
+from lexigauge.fixed_values import WHITESPACE
 
 # A `{"key":` opener with the whitespace around it. The lookbehind lets a match begin only
 # where a whitespace run begins (or where the previous match ended), which keeps the scan
@@ -20,8 +21,9 @@ def clean_text(text: Column) -> Column:
     text = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITESPACE))
     text = F.btrim(text, F.lit('"'))
     text = F.replace(text, F.lit('\\"'), F.lit('"'))
-    text = F.regexp_replace(text, _OPENER, "")
-    return F.regexp_replace(text, _LAST_BRACE, "")
+    # Most cells hold no brace at all: a plain search spares them the regexes.
+    text = F.when(F.contains(text, F.lit("{")), F.regexp_replace(text, _OPENER, "")).otherwise(text)
+    return F.when(F.contains(text, F.lit("}")), F.regexp_replace(text, _LAST_BRACE, "")).otherwise(text)
 
 
 def is_valid_text(text: Column) -> Column:

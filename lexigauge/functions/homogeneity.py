@@ -6,16 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _count_of(char: Column, text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+def _bytes_of(char: Column, text: Column) -> Column:
+    """Bytes all occurrences of a character take; sizes in bytes are known without a scan."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, char, F.lit("")))
 
 
 def multiset_cosine(a: Column, b: Column) -> Column:
     """|A ∩ B| / sqrt(|A| |B|) over character multisets."""
     shared = F.aggregate(
         F.array_distinct(F.split(a, "")),
-        F.lit(0),
-        lambda total, char: total + F.least(_count_of(char, a), _count_of(char, b)),
+        F.lit(0).cast("bigint"),
+        lambda total, char: total
+        + F.call_function(
+            "div", F.least(_bytes_of(char, a), _bytes_of(char, b)), F.octet_length(char)
+        ),
     )
     sizes = F.length(a).cast("double") * F.length(b).cast("double")
     return F.try_divide(shared.cast("double"), F.sqrt(sizes))

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from lexigauge.fixed_values import (
     COMPLEX_WORD_SYLLABLES,
+    JAVA_WS,
     LONG_WORD,
     SENTENCE,
     VOWELS,
     WORD,
-    WS,
 )
 
 _IN_WORD = r"[\p{L}\p{N}]"
-_VOWEL = f"[{VOWELS}]"
-_OTHER = rf"[\p{{L}}\p{{N}}&&[^{VOWELS}]]"
+# Java tests the members of a class above U+00FF one by one; behind a range check they cost
+# nothing on Latin text.
+_VOWELS = "{}[\\x{{100}}-\\x{{4ff}}&&[{}]]".format(
+    "".join(v for v in VOWELS if v <= "\xff"), "".join(v for v in VOWELS if v > "\xff")
+)
+_VOWEL = f"[{_VOWELS}]"
+_OTHER = rf"[\p{{L}}\p{{N}}&&[^{_VOWELS}]]"
 _WITH_VOWEL = f"{_VOWEL}{_IN_WORD}*+"
 
 
@@ -86,7 +91,7 @@ def basic_counts(text: Column) -> dict[str, Column]:
 def char_class_counts(text: Column) -> dict[str, Column]:
     return {
         "n_letters": _chars_in(text, r"\p{L}"),
-        "n_spaces": _chars_in(text, f"[{WS}]"),
+        "n_spaces": _chars_in(text, f"[{JAVA_WS}]"),
         "n_punctuations": _chars_in(text, r"\p{P}"),
     }
 

@@ -58,6 +58,9 @@ def clean_rows(
 
     All cells must be valid after cleaning, also those not selected. A rejected row has a
     reason and no text; a kept row has a text and no reason.
+
+    The result leaves through a generator of one row, because Spark would otherwise copy the
+    whole cleaning chain into every filter on the result and run it again there.
     """
     selected = select_fields(columns, names, positions)
     ragged = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
@@ -73,9 +76,8 @@ def clean_rows(
         .when(~is_valid_text(F.col("joined")), F.lit(INVALID_TEXT))
     )
     judged = cleaned.select(row_id, "joined", reason.alias("reject_reason"))
-    return judged.select(
-        row_id, F.when(F.col("reject_reason").isNull(), F.col("joined")).alias("text"), "reject_reason"
-    )
+    text = F.when(F.col("reject_reason").isNull(), F.col("joined")).alias("text")
+    return judged.select(row_id, F.inline_outer(F.array(F.struct(text, F.col("reject_reason")))))
 
 
 def kept(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from lexigauge.functions.text import analysis_language
 from lexigauge.session import broadcast_within
 
 FREQUENCY_FLOOR = 1e-4
+WORD_FLOOR = 1e-5
 MAX_PROFILE_ROWS = 1_000_000  # broadcast limit: 100 languages at the floor above
 
 
@@ -23,7 +24,7 @@ def letter_words(text: Column) -> Column:
 
 
 def word_grams(word: Column) -> Column:
-    """All n-grams of one word, with repeats."""
+    """All n-grams of one word, with repeats; overlapping windows by lookahead."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
     return F.concat(
         F.regexp_extract_all(word, F.lit("."), F.lit(0)),
@@ -32,6 +33,12 @@ def word_grams(word: Column) -> Column:
     )
 
 
+def _vocabulary(docs: DataFrame, text: str, keys: list[Column]) -> DataFrame:
+    words = docs.select(*keys, F.explode_outer(letter_words(F.col(text))).alias("word"))
+    names = words.columns
+    return words.filter(F.col("word").isNotNull()).groupBy(*names).agg(F.count("*").alias("n"))
+
+
 def fit_profile(
     docs: DataFrame, text: str = "text", lang: str = "lang", floor: float = FREQUENCY_FLOOR
 ) -> DataFrame:
@@ -41,13 +48,9 @@ def fit_profile(
     words. Weights are integers: sums of them do not depend on the order of rows.
     """
     labelled = docs.filter(F.col(lang).isNotNull())
-    vocabulary = (
-        labelled.select(F.col(lang).alias("lang"), F.explode(letter_words(F.col(text))).alias("word"))
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-    )
+    vocabulary = _vocabulary(labelled, text, [F.col(lang).alias("lang")])
     counts = (
-        vocabulary.select("lang", "n", F.explode(word_grams(F.col("word"))).alias("gram"))
+        vocabulary.select("lang", "n", F.explode_outer(word_grams(F.col("word"))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -60,32 +63,84 @@ def fit_profile(
     )
 
 
-def language_scores(docs: DataFrame, profile: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """`(key, lang, score)`; a text without any known n-gram has one row with nulls.
+def profile_languages(profile: DataFrame) -> list[str]:
+    """The languages of a profile, in order. A handful of names, read by the driver."""
+    return [r[0] for r in profile.select("lang").distinct().orderBy("lang").collect()]
+
 
-    All n-grams of a text are joined and summed within its task: what is shuffled is one row
-    per text and language.
+def _wide(profile: DataFrame, langs: list[str]) -> DataFrame:
+    """One row per n-gram with a weight `w0..` per language, 0 where it is below the floor."""
+    weights = profile.groupBy("gram").pivot("lang", langs).agg(F.first("weight"))
+    return weights.select(
+        "gram", *[F.coalesce(F.col(f"`{lang}`"), F.lit(0)).alias(f"w{i}") for i, lang in enumerate(langs)]
+    )
+
+
+def frequent_words(
+    docs: DataFrame, profile: DataFrame, text: str = "text", floor: float = WORD_FLOOR
+) -> DataFrame:
+    """`(word, h0..)`: the summed weights of the words more frequent than the floor.
+
+    At most 1 / floor words can be. Scoring takes these sums as they are, which saves taking
+    the n-grams of most words of a text; the scores are the same.
     """
-    grams = docs.select(
-        key, F.explode_outer(letter_words(F.col(text))).alias("word")
-    ).select(key, F.explode_outer(word_grams(F.col("word"))).alias("gram"))
-    small = broadcast_within(profile, MAX_PROFILE_ROWS)
-    return (
-        grams.join(small, "gram", "left")
-        .groupBy(key, "lang")
-        .agg(F.sum("weight").alias("score"))
+    langs = profile_languages(profile)
+    vocabulary = _vocabulary(docs, text, [])
+    total = vocabulary.agg(F.sum("n")).scalar()
+    kept = vocabulary.filter(F.col("n") > floor * total).select("word")
+    pieces = kept.select("word", F.explode_outer(word_grams(F.col("word"))).alias("gram"))
+    known = broadcast_within(_wide(profile, langs), MAX_PROFILE_ROWS)
+    sums = [F.sum(f"w{i}").alias(f"h{i}") for i in range(len(langs))]
+    return pieces.join(known, "gram", "left").groupBy("word").agg(*sums)
+
+
+def language_scores(
+    docs: DataFrame, profile: DataFrame, key: str, text: str = "text", frequent: DataFrame | None = None
+) -> DataFrame:
+    """`(key, scores)`: an array of `(lang, score)`, scores null without any known n-gram.
+
+    `frequent` is a table from `frequent_words` over this profile. All words of a text are
+    looked up and summed within its task, and what is shuffled is one row per text.
+    """
+    langs = profile_languages(profile)
+    places = range(len(langs))
+    rows = docs.select(key, F.explode_outer(letter_words(F.col(text))).alias("word"))
+    if frequent is None:
+        rows = rows.select(key, F.explode_outer(word_grams(F.col("word"))).alias("gram"))
+        weight = {i: F.col(f"w{i}") for i in places}
+    else:
+        hits = broadcast_within(frequent.withColumn("hit", F.lit(True)), MAX_PROFILE_ROWS)
+        rest = F.when(F.col("hit").isNull(), word_grams(F.col("word")))
+        # A frequent word leaves one row without an n-gram, any other word one per n-gram.
+        rows = rows.join(hits, "word", "left").select(
+            key, *[f"h{i}" for i in places], F.explode_outer(rest).alias("gram")
+        )
+        weight = {i: F.coalesce(F.col(f"h{i}"), F.col(f"w{i}")) for i in places}
+    known = broadcast_within(_wide(profile, langs), MAX_PROFILE_ROWS)
+    summed = (
+        rows.join(known, "gram", "left")
+        .groupBy(key)
+        .agg(*[F.sum(weight[i]).alias(f"s{i}") for i in places])
     )
+    pairs = [F.struct(F.lit(langs[i]).alias("lang"), F.col(f"s{i}").alias("score")) for i in places]
+    return summed.select(key, F.array(*pairs).alias("scores"))
 
 
-def detect_language(docs: DataFrame, profile: DataFrame, key: str, text: str = "text") -> DataFrame:
+def detect_language(
+    docs: DataFrame, profile: DataFrame, key: str, text: str = "text", frequent: DataFrame | None = None
+) -> DataFrame:
     """`(key, detected_lang, analysis_lang)`: best-scoring language, first by name on a tie.
 
     Both are null for a text that shares no n-gram with any profile, such as one without
-    letters. `profile` should be a written table, as `session.materialize` returns.
+    letters. `profile` and `frequent` should be written tables, as `session.materialize`
+    returns.
     """
-    best = F.min(
-        F.when(F.col("lang").isNotNull(), F.struct((-F.col("score")).alias("cost"), F.col("lang")))
+    ranked = F.transform(
+        F.filter("scores", lambda s: s["score"].isNotNull()),
+        lambda s: F.struct((-s["score"]).alias("cost"), s["lang"].alias("lang")),
+    )
+    found = language_scores(docs, profile, key, text, frequent).select(
+        key, F.array_min(ranked)["lang"].alias("detected_lang")
     )
-    found = language_scores(docs, profile, key, text).groupBy(key).agg(best["lang"].alias("detected_lang"))
     routed = F.when(F.col("detected_lang").isNotNull(), analysis_language(F.col("detected_lang")))
     return found.withColumn("analysis_lang", routed)

@@ -75,11 +75,12 @@ def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
 
 def standardize(df: DataFrame, features: list[str], fit: DataFrame) -> DataFrame:
     """Replace the features by (x - mean) / scale; the one-row fit enters as a scalar subquery."""
-    known = fit.select(F.struct("mean", "scale")).scalar()
+    known = df.withColumn("_fit", fit.select(F.struct("mean", "scale")).scalar())
+    mean, scale = F.col("_fit.mean"), F.col("_fit.scale")
     cleaned = feature_columns(features)
-    return df.withColumns(
-        {f: (cleaned[i] - known["mean"][i]) / known["scale"][i] for i, f in enumerate(features)}
-    )
+    return known.withColumns(
+        {f: (cleaned[i] - mean[i]) / scale[i] for i, f in enumerate(features)}
+    ).drop("_fit")
 
 
 def group_summary(df: DataFrame, group: str, features: list[str]) -> DataFrame:
@@ -219,7 +220,11 @@ def wide_group_moments(scaled: DataFrame, group: str, features: list[str]) -> Da
         "n_rows",
         F.col("r")["mean"].alias("mean"),
         F.transform(
-            "r", lambda row: F.sqrt(F.greatest(F.element_at(row["cells"], row["i"] + 1)["cov"], F.lit(0.0)))
+            "r",
+            lambda row: F.transform(
+                F.slice(row["cells"]["cov"], row["i"] + 1, F.lit(1)),
+                lambda var: F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))),
+            )[0],
         ).alias("std"),
         F.transform("r", lambda row: row["cells"]["cov"]).alias("cov"),
     )

@@ -129,8 +129,26 @@ def chunk_texts(
 
 
 def explode_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row `(keys, part_id, text)` per chunk."""
-    return df.select(*keys, F.posexplode("chunks").alias("part_id", "text"))
+    """One row `(keys, part_id, text)` per chunk; every text has at least one.
+
+    The outer form is exact here, and keeps Spark from testing the arrays for emptiness first,
+    which would compute them twice.
+    """
+    return df.select(*keys, F.posexplode_outer("chunks").alias("part_id", "text"))
+
+
+def explode_items(df: DataFrame, keys: list[str], items, names: tuple[str, str]) -> DataFrame:
+    """One row `(keys, position, item)` per word or sentence; computed once, as above."""
+    rows = df.select(*keys, F.posexplode_outer(items).alias(*names))
+    return rows.filter(F.col(names[1]).isNotNull())
+
+
+def sentence_table(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    return explode_items(df, keys, X.sentences(F.col(text)), ("sent_id", "sentence"))
+
+
+def word_table(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    return explode_items(df, keys, X.words(F.col(text)), ("word_id", "word"))
 
 
 def chunked_readability(
