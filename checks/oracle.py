@@ -116,8 +116,11 @@ def text_ctes(docs: str, key: str, name: str = "prof", extra: str = "") -> str:
 
     `docs` must have the key, lang and text; `extra` names more columns to carry.
     """
-    syllables = f"""greatest(1, len(regexp_extract_all(word, {ROUTE.format(
-        ru=f"'[{VOWELS}]'", other=f"'[{VOWELS}]+'")})))"""
+    syllables = ROUTE.format(
+        ru=f"len(regexp_extract_all(word, '[{VOWELS}]'))",
+        other=f"len(regexp_extract_all(word, '[{VOWELS}]+'))",
+    )
+    syllables = f"greatest(1, {syllables})"
     limit = ROUTE.format(ru=COMPLEX_WORD_SYLLABLES["ru"], other=COMPLEX_WORD_SYLLABLES["other"])
     carry = f", {extra}" if extra else ""
     return rf"""

@@ -194,27 +194,23 @@ def profile_documents(
 def profile_datasets(
     df: DataFrame, key: str, text: str = "text", lang: str | None = None
 ) -> DataFrame:
-    """The same profile per dataset, in one scan.
+    """The same profile per dataset.
 
     Counts add up, words are distinct over the dataset, readability follows from the summed
     counts (Russian coefficients where most words are in Russian texts), and homogeneity is
-    the mean over all pairs within documents. Each document's counts ride on its first word,
-    so that one aggregation by (dataset, word) yields sums and distinct words together.
+    the mean over all pairs within documents. Sums and distinct words are two aggregations:
+    the sums leave one row per task and dataset, and the wide sums do not ride along in the
+    much larger shuffle by (dataset, word).
     """
     counted = homogeneity(text_counts(df, text, lang), text)
     ru_words = F.when(F.col(lang) == "ru", F.col("n_words")) if lang else F.lit(None)
+    counted = counted.withColumn("ru_words", ru_words.cast("bigint"))
     sums = [*SUMMED_COUNTS, "n_pairs", "sum_similarity", "ru_words"]
-    per_word = (
-        counted.withColumn("ru_words", ru_words.cast("bigint"))
-        .withColumn("_words", X.unique_words(X.words(F.col(text))))
-        .select(key, *sums, F.posexplode_outer("_words").alias("_pos", "_word"))
-    )
-    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    totals = per_word.groupBy(key).agg(
-        F.count_if(first).alias("n_docs"),
-        *[F.sum(F.when(first, F.col(c))).alias(c) for c in sums],
-        F.count_distinct("_word").alias("n_unique_words"),
+    summed = counted.groupBy(key).agg(
+        F.count("*").alias("n_docs"), *[F.sum(c).alias(c) for c in sums]
     )
+    vocabulary = unique_words_by(df, key, text).withColumnRenamed(key, "_key")
+    totals = summed.join(vocabulary, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     totals = totals.withColumns(
         {
             "_lang": F.when(F.col("ru_words") * 2 > F.col("n_words"), "ru").otherwise("other"),
