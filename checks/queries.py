@@ -381,7 +381,7 @@ def q_group_cov_wide(spark, sf):
     vectors = D.table(spark, sf, "embeddings")
     size = vectors.select(F.max(F.size("embedding"))).first()[0]
     names = [f"e{i}" for i in range(size)]
-    table = vectors.select("label", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    table = vectors.selectExpr("label", *[f"get(embedding, {i}) as {n}" for i, n in enumerate(names)])
     _, groups = fitted_groups(table, "label", names)
     rows = groups.select("grp", F.posexplode("cov").alias("i", "row"))
     return rounded(rows.select("grp", "i", F.posexplode("row").alias("j", "cov")))

@@ -47,7 +47,7 @@ def flatten(df: DataFrame, map_keys: dict[str, list[str]] | None = None, sep: st
             for field in kind.fields:
                 walk(value.getField(field.name), field.dataType, f"{name}{sep}{field.name}")
         elif isinstance(kind, T.MapType) and name in map_keys:
-            out.extend(F.try_element_at(value, F.lit(k)).alias(f"{name}{sep}{k}") for k in map_keys[name])
+            out.extend(value[k].alias(f"{name}{sep}{k}") for k in map_keys[name])
         else:
             out.append(value.alias(name))
 
@@ -58,25 +58,24 @@ def flatten(df: DataFrame, map_keys: dict[str, list[str]] | None = None, sep: st
 
 def template_view(flat: DataFrame, dataset_name: str = "dataset_name") -> DataFrame:
     """The 86-column row: known columns kept, others dropped, missing values 0."""
-    present = {c.replace(_DEPENDENCIES, "dependency_", 1): c for c in flat.columns}
-    cols = []
-    for field in feature_schema().fields:
-        if field.name == "dataset_name":
-            name = column(dataset_name) if dataset_name in flat.columns else F.lit(None)
-            value = F.coalesce(name.cast("string"), F.lit(UNNAMED))
-        elif field.name in present:
-            value = F.coalesce(column(present[field.name]).cast(field.dataType), F.lit(0).cast(field.dataType))
-        else:
-            value = F.lit(0).cast(field.dataType)
-        cols.append(value.alias(field.name))
-    return flat.select(*cols)
+    present = {}
+    for c in flat.columns:
+        label = c.removeprefix(_DEPENDENCIES)
+        present[c if label == c else f"dependency_{label}"] = c
+    name = f"cast(`{dataset_name}` as string)" if dataset_name in flat.columns else "null"
+    cols = [f"coalesce({name}, '{UNNAMED}') as dataset_name"]
+    for field in feature_schema().fields[1:]:
+        kind = field.dataType.simpleString()
+        value = f"`{present[field.name]}`" if field.name in present else "null"
+        cols.append(f"coalesce(cast({value} as {kind}), cast(0 as {kind})) as `{field.name}`")
+    return flat.selectExpr(*cols)
 
 
 def _divide(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     if by not in df.columns:
         return df
     here = [c for c in columns if c in df.columns]
-    ratios = {c: F.try_divide(column(c), column(by)).cast("double") for c in here}
+    ratios = {c: F.expr(f"cast(try_divide(`{c}`, `{by}`) as double)") for c in here}
     return df.withColumns(ratios) if here else df
 
 

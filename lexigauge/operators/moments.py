@@ -16,12 +16,15 @@ MAX_BUILTIN_FEATURES = 8  # above this, covariances come from partial moments
 _FLUSH_GROUPS = 256  # groups whose partial moments a task holds at a time
 
 
+def _numeric(feature: str) -> str:
+    """SQL for a feature as DOUBLE, NaN turned into NULL."""
+    quoted = feature.replace("`", "``")
+    return f"nanvl(cast(`{quoted}` as double), cast(null as double))"
+
+
 def feature_columns(features: list[str]) -> list[Column]:
-    """The features as DOUBLE, NaN turned into NULL."""
-    return [
-        F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f"f{i}")
-        for i, f in enumerate(features)
-    ]
+    """The features as `f0`, `f1` ..., missing where they are NaN."""
+    return [F.expr(f"{_numeric(f)} as f{i}") for i, f in enumerate(features)]
 
 
 def _names(features: list[str]) -> list[str]:
@@ -76,11 +79,11 @@ def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
 def standardize(df: DataFrame, features: list[str], fit: DataFrame) -> DataFrame:
     """Replace the features by (x - mean) / scale; the one-row fit enters as a scalar subquery."""
     known = df.withColumn("_fit", fit.select(F.struct("mean", "scale")).scalar())
-    mean, scale = F.col("_fit.mean"), F.col("_fit.scale")
-    cleaned = feature_columns(features)
-    return known.withColumns(
-        {f: (cleaned[i] - mean[i]) / scale[i] for i, f in enumerate(features)}
-    ).drop("_fit")
+    scaled = {
+        f: F.expr(f"({_numeric(f)} - _fit.mean[{i}]) / _fit.scale[{i}]")
+        for i, f in enumerate(features)
+    }
+    return known.withColumns(scaled).drop("_fit")
 
 
 def group_summary(df: DataFrame, group: str, features: list[str]) -> DataFrame:
