@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *bpe.digests(done))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    shown = F.lower(F.lpad(F.hex("simhash"), 16, "0"))
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe,)}
+    return {f.__name__: f for f in (op3_bpe, op9_simhash)}
 
 
 def llm_sql() -> dict[str, str]:
