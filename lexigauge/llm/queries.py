@@ -32,6 +32,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *bpe.digests(done))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    scanned = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "n_words", *licenses.summary(scanned))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    text = F.coalesce("text", F.lit(""))
+    sizes = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = sharding.shuffled_shards(sizes, 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -41,7 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_licenses, op5_sharding, op9_simhash)}
 
 
 def llm_sql() -> dict[str, str]:

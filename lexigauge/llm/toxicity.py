@@ -29,7 +29,7 @@ SIZES = (3, 4, 5)
 BITS = 18
 BUCKETS = 1 << BITS
 MAX_PER_CLASS = 4000
-SHARDS = 8
+SHARDS = 4
 ROUNDS = 3
 EPOCHS = 3
 RATE, DECAY = 0.2, 1e-4
