@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import normal_words, text_of
 
 #: The phrases that count as base places, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -127,12 +127,6 @@ def rules() -> list[tuple[str, str, str, int]]:
     return sorted(out, key=lambda r: -r[3])
 
 
-def normal_words(text: Column) -> Column:
-    """' word word ... ': A-Z lower-cased, every other ASCII character but letters and digits a cut."""
-    words = F.regexp_replace(ascii_lower(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
-    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-
-
 def _count(text: Column) -> Column:
     """Words of a piece that is cut at single blanks: its blanks are those between and around words."""
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))

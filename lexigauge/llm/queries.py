@@ -21,6 +21,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +57,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import new_folder
+    from . import warc
+
+    folder = new_folder(spark, "warc")
+    written = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    records = warc.read_archives(written, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contained_items(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -59,8 +83,40 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_licenses, op5_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op7_warc, op8_decontamination, op9_simhash)}
+
+
+def _shingle_sql(table: str, key: str) -> str:
+    return f"""
+    SELECT DISTINCT k, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT {key} AS k,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}),
+         unnest(range(1, greatest(len(w) - 3, 2))) AS t(i)
+    WHERE len(w) > 0"""
+
+
+OP8_SQL = f"""
+WITH d AS ({_shingle_sql("documents", "doc_id")}),
+     b AS ({_shingle_sql("benchmark", "item_id")}),
+     size AS (SELECT k, count(*) AS n FROM b GROUP BY k)
+SELECT d.k AS doc_id, b.k AS item_id, CAST(count(*) AS INTEGER) AS shared, CAST(any_value(n) AS INTEGER) AS n_shingles,
+       count(*) / any_value(n) AS containment
+FROM d JOIN b ON d.s = b.s JOIN size ON size.k = b.k
+GROUP BY d.k, b.k
+HAVING 5 * count(*) >= 4 * any_value(n)
+"""
+
+#: Digest columns that need no archive; what is read back must equal them.
+OP7_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+     g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM g
+"""
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": OP7_SQL, "op8_decontamination": OP8_SQL}
