@@ -82,8 +82,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import drop_repeats
+
+    out = drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op7_warc, op8_decontamination, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op7_warc, op8_decontamination, op9_simhash, op10_suffix_dedup)}
 
 
 def _shingle_sql(table: str, key: str) -> str:
