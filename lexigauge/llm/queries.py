@@ -57,6 +57,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprints
+
+    out = fingerprints.compare_versions(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.written(F.col("cells")).alias("fingerprint"),
+        fingerprints.written(F.col("edited_cells")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import new_folder
     from . import warc
@@ -90,7 +100,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op7_warc, op8_decontamination, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op6_fingerprints, op7_warc, op8_decontamination, op9_simhash, op10_suffix_dedup)}
 
 
 def _shingle_sql(table: str, key: str) -> str:
