@@ -13,8 +13,8 @@ Rarity is the corpus count of a word's hash bucket, of which there is a fixed nu
 order keeps the join exact. First each set meets the first set in its lists; only sets that match
 none of these go on to the whole lists.
 
-A null text has no lines and stays null. Rows that share a doc_id are one document, in no set order; so
-are null ids. Other columns are kept; `n_lines` and `n_removed` are replaced if they exist.
+A null text has no lines and stays null. Rows that share a doc_id come in the order of a hash of their
+texts, those that share the text as well are one document; null ids come first. Other columns are kept; `n_lines` and `n_removed` are replaced if they exist.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ BUCKETS = 1 << 16
 BROADCAST_ROWS = 200_000
 
 
-def _lines(docs: DataFrame, *keep: str) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", *keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    split = docs.select("doc_id", F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return split.filter(F.col("line").rlike("\\S"))
 
 
@@ -71,17 +71,17 @@ def _need(a: Column, b: Column, similarity: float) -> Column:
 
 
 def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, line_no, removed) of every line with words."""
+    """(doc_id, tie, line_no, removed) of every line with words; tie: xxhash64 of the text."""
     docs = docs.select("doc_id", "text")
     ranks = _ranks(docs)
     size = F.size("words")
     prefix = F.slice("words", F.lit(1), size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
     # two hashes of the whole set: 128 bits name it
     named = _with_sets(_lines(docs), ranks).select(
-        "doc_id", "line_no", size.alias("size"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), prefix.alias("prefix")
+        "doc_id", "tie", "line_no", size.alias("size"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), prefix.alias("prefix")
     )
     lines = materialize(named, "lines")
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "tie", "line_no")
     sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
     sets = materialize(sets.select("place", "size", "k1", "k2", "prefix"), "sets")
     listed = materialize(sets.select("place", "size", F.posexplode("prefix").alias("at", "word")), "listed")
@@ -94,7 +94,7 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     second = _verified(docs, ranks, _filtered(rest.join(a, "word"), similarity), similarity)
     matched = materialize(first.union(second), "matched")
     later = sets.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
-    return lines.join(later, ["k1", "k2", "size"]).select("doc_id", "line_no", (F.col("found").isNotNull() | (place != F.col("place"))).alias("removed"))
+    return lines.join(later, ["k1", "k2", "size"]).select("doc_id", "tie", "line_no", (F.col("found").isNotNull() | (place != F.col("place"))).alias("removed"))
 
 
 def _filtered(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -113,13 +113,12 @@ def _verified(docs: DataFrame, ranks: Column, pairs: DataFrame, similarity: floa
     """(place) of the sets that match one before them."""
     pairs = materialize(pairs, "candidates")
     places = pairs.select(F.col("a").alias("place")).union(pairs.select(F.col("b").alias("place"))).distinct()
-    wanted = materialize(places.select("place.doc_id", "place.line_no"), "places")
+    wanted = materialize(places.select("place.doc_id", "place.tie", "place.line_no"), "places")
     only = broadcast_within(wanted, BROADCAST_ROWS)
-    same = lambda l, r: l["doc_id"].eqNullSafe(r["doc_id"]) & (l["line_no"] == r["line_no"])
+    same = lambda l, r: l["doc_id"].eqNullSafe(r["doc_id"]) & (l["tie"] == r["tie"]) & (l["line_no"] == r["line_no"])
     rows = _lines(docs)
     rows = rows.join(only, same(rows, only), "left_semi")
-    # a doc_id that comes twice has several lines of a number: their sets are one of each
-    words = _with_sets(rows, ranks).select(F.struct("doc_id", "line_no").alias("place"), "words")
+    words = _with_sets(rows, ranks).select(F.struct("doc_id", "tie", "line_no").alias("place"), "words")
     words = materialize(words, "words")
     a, b = words.select(F.col("place").alias("a"), F.col("words").alias("x")), words.select(F.col("place").alias("b"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -129,9 +128,11 @@ def _verified(docs: DataFrame, ranks: Column, pairs: DataFrame, similarity: floa
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with the lines left in `text`, and `n_lines` and `n_removed`."""
-    gone = marked_lines(docs, similarity).filter("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    gone = marked_lines(docs, similarity).filter("removed").groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_gone")
     rest = docs.drop("n_lines", "n_removed")
-    rows = rest.join(gone.withColumnRenamed("doc_id", "_id"), rest["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    tie = F.xxhash64(F.coalesce(rest["text"], F.lit("")))
+    rows = rest.join(gone, rest["doc_id"].eqNullSafe(F.col("_id")) & (tie == F.col("_tie")), "left").drop("_id", "_tie")
     rows = rows.withColumn("_split", F.split("text", "\n"))
     none = F.array().cast("array<int>")
     # an array of numbers is searched once for each line, so both are walked through in order

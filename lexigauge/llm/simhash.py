@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,6 +231,17 @@ def _meetings():
     return F.when(F.col("home"), F.array_union(chunks, parts)).otherwise(chunks)
 
 
+def groups(prints: DataFrame) -> DataFrame:
+    """(simhash, root, component_id) of each fingerprint of `prints` (doc_id, simhash): its group's smallest fingerprint and doc_id."""
+    links = materialize(near_links(prints), "near")
+    roots = connected_components(links)
+    # one row for each fingerprint, so the hot ones among the documents meet a single row
+    named = prints.groupBy("simhash").agg(F.min("doc_id").alias("first")).join(roots, F.col("simhash") == F.col("node"), "left")
+    named = materialize(named.select("simhash", "first", F.coalesce("root", "simhash").alias("root")), "named")
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(lowest, "root").select("simhash", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, simhash, component_id) of every row: the smallest doc_id that links of at most 4 bits reach.
 
@@ -238,11 +249,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     never names a component unless all its ids are null. Every row comes back, repeated ones too.
     """
     prints = materialize(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "simhash")
-    links = materialize(near_links(prints), "near")
-    roots = connected_components(links)
-    # one row for each fingerprint, so the hot ones among the documents meet a single row
-    named = prints.groupBy("simhash").agg(F.min("doc_id").alias("first")).join(roots, F.col("simhash") == F.col("node"), "left")
-    named = named.select("simhash", "first", F.coalesce("root", "simhash").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "root").select("simhash", "component_id")
-    return prints.join(named, "simhash").select("doc_id", "simhash", "component_id")
+    return prints.join(groups(prints).drop("root"), "simhash").select("doc_id", "simhash", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text, ...) with one row of each group: that with the smallest doc_id, of equal ones the first text."""
+    rows = with_fingerprints(docs, out="_simhash")
+    prints = materialize(with_fingerprints(docs.select("doc_id", "text")).drop("text"), "simhash")
+    named = groups(prints).withColumnRenamed("simhash", "_simhash")
+    # only rows with the smallest id go on, so that a large group is no large window
+    left = rows.join(named, "_simhash").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    order = Window.partitionBy("root").orderBy(F.col("text").asc_nulls_last())
+    return left.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)

@@ -52,7 +52,7 @@ def test_lines(spark):
 
 
 def test_repeated_rows_and_none(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b\tc\nd")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(docs).collect())
-    assert got == [(1, "a b c"), (1, "a b c"), (2, "d")]
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b\tc\nd"), (None, "p q"), (None, "r s"), (3, "P Q\nr\ns r\n")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(docs).collect()), key=str)
+    assert got == [(1, "a b c"), (1, "a b c"), (2, "d"), (3, "r\n"), (None, "p q"), (None, "r s")]
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
