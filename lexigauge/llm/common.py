@@ -32,6 +32,21 @@ def normal_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
+def let(value: Column, then) -> Column:
+    """`then(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def constant_longs(rows: list, size: int) -> Column:
+    """An array of `size` longs as a constant, 0 where no row (at, word) gives one.
+
+    For tables of fixed size that lambdas look things up in: they can't hold a subquery, and a column
+    would be copied into every row.
+    """
+    words = dict(rows)
+    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(size))), ",").cast("array<bigint>")
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """The schema of `df` with fields at its end, in place of any of the same name."""
     names = {n for n, _ in fields}

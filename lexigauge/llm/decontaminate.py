@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within, materialize
-from .common import normal_words, text_of
+from .common import constant_longs, let, normal_words, text_of
 
 WORDS = 5
 CONTAINED = 0.8
@@ -56,25 +56,23 @@ def item_sketches(items: DataFrame, item_id: str = "item_id", contained: float =
 
 def _filter_words(sketched: DataFrame) -> Column:
     """FILTER_BITS bits, one set for each item shingle, as an array of longs of fixed length."""
-    spark = sketched.sparkSession
-    bits = sketched.select(F.explode("shingles").alias("s")).select(F.pmod("s", F.lit(FILTER_BITS)).alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("at"))
+    bits = sketched.select(F.explode("shingles").alias("s")).select(F.pmod("s", F.lit(FILTER_BITS)).alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("at"))
     words = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word"))
-    every = spark.range(FILTER_BITS // 64).join(words, F.col("id") == F.col("at"), "left")
-    one = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))).alias("all"))
-    return one.select(F.transform("all", lambda x: x["word"])).scalar()
+    return constant_longs(words.collect(), FILTER_BITS // 64)  # FILTER_BITS / 64 rows at most
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", contained: float = CONTAINED) -> DataFrame:
     """(doc_id, item_id, shared, n_shingles, containment) of every pair that reaches `contained`."""
     sketched = materialize(item_sketches(items, item_id, contained), "items")
     # texts are read once: only the shingles that an item may have go on
-    rows = with_shingles(docs, F.col(doc_id).alias("doc_id")).withColumn("_filter", _filter_words(sketched))
+    rows = with_shingles(docs, F.col(doc_id).alias("doc_id"))
 
-    def known(s: Column) -> Column:
-        bit = F.pmod(s, F.lit(FILTER_BITS))
-        return F.bit_get(F.get("_filter", F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+    def known(s: Column, words: Column) -> Column:
+        word = F.get(words, F.shiftright(F.pmod(s, F.lit(FILTER_BITS)), 6).cast("int"))
+        return F.bit_get(word, F.pmod(s, F.lit(64)).cast("int")) == 1
 
-    found = rows.select("doc_id", F.size("shingles").alias("size"), F.array_distinct(F.filter("shingles", known)).alias("hits"))
+    kept = let(_filter_words(sketched), lambda words: F.array_distinct(F.filter("shingles", lambda s: known(s, words))))
+    found = rows.select("doc_id", F.size("shingles").alias("size"), F.explode(F.array(kept)).alias("hits"))
     # at most one row for each document, and hardly more values than its items' shingles
     hits = found.filter(F.size("hits") > 0).groupBy("doc_id").agg(F.sum("size").alias("size"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     hits = materialize(hits, "hits")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import let, text_of
 
 LEAST = 250
 CELLS = 48
@@ -33,11 +33,6 @@ ROUNDS = 40
 RANGES = 256
 
 
-def _let(value: Column, then) -> Column:
-    """`then(value)` with the value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def paragraphs(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
     parts = F.regexp_extract_all(text, F.lit(rf"[^\n]{{{LEAST},}}?[.!?](?=\s)|[^\n]+"), F.lit(0))
@@ -73,7 +68,7 @@ def sketch(digests: Column, cells: int = CELLS, seed: int = 0) -> Column:
         w = cells // 3
         return F.concat(*[F.transform(F.sequence(F.lit(r * w), F.lit(r * w + w - 1)), cell(r)) for r in range(3)])
 
-    return _let(placed, fill)
+    return let(placed, fill)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -101,7 +96,7 @@ def peel(difference: Column, cells: int = CELLS, seed: int = 0) -> Column:
         )
 
     def step(state: Column, _: Column) -> Column:
-        return F.when(state["done"], state).otherwise(_let(pure(state["cells"]), lambda found: take(state, found)))
+        return F.when(state["done"], state).otherwise(let(pure(state["cells"]), lambda found: take(state, found)))
 
     def result(state: Column) -> Column:
         empty = F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0))
@@ -131,7 +126,7 @@ def differing(a_digests: Column, b_digests: Column, a_sketch: Column, b_sketch:
 
     n = F.ceil(F.greatest(F.size(a_digests), F.size(b_digests)) / F.lit(PER_GROUP)).cast("int")
     # more digests apart than cells can't be peeled: the counts of the cells tell
-    return F.coalesce(peel(subtract(a_sketch, b_sketch)), _let(F.greatest(n, F.lit(1)), grouped))
+    return F.coalesce(peel(subtract(a_sketch, b_sketch)), let(F.greatest(n, F.lit(1)), grouped))
 
 
 def likeness(n_a: Column, n_b: Column, apart: Column) -> Column:

@@ -132,11 +132,6 @@ def _count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _let(value: Column, then) -> Column:
-    """`then(value)` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def places(words: Column, regex: Column) -> Column:
     """Intervals (start, stop) of the words that match, from left to right.
 

@@ -8,7 +8,8 @@ well. Blank lines have no words and stay.
 Lines with equal sets are one set that first stands at one place. The words of a set are put in
 order of rarity, and only the prefix of the rarest is joined: a set of s words that shares 0.8 with
 another shares one of its s - ceil(0.8 s) + 1 rarest. Pairs that meet there must pass the length filter
-and the positional filter (what may still follow in both suffices), then the whole sets are compared.
+and the positional filter (what may still follow in both after their first common word), and the parities of 64 bits into which each word puts one must not differ in more
+bits than the sets may in words; then the whole sets are compared.
 Rarity is the corpus count of a word's hash bucket, of which there is a fixed number; any common
 order keeps the join exact. First each set meets the first set in its lists; only sets that match
 none of these go on to the whole lists.
@@ -23,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within, materialize
+from .common import constant_longs, let
 
 SIMILARITY = 0.8
-#: Counters of words; their number does not grow with the data.
-BUCKETS = 1 << 16
+#: Counters of words, a power of two; their number does not grow with the data.
+BUCKETS = 1 << 18
 BROADCAST_ROWS = 200_000
 
 
@@ -37,32 +39,35 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "\\s+"), lambda w: w != "")
+    """The lower-case words of a line; a cut at one plain blank is much faster than at a pattern."""
+    plain = F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """For each bucket its place among all by count, the rarest first: an array of BUCKETS shorts."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    hashed = docs.select(F.explode(F.split(text, "\\s+")).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("id"))
-    counts = materialize(hashed.groupBy("id").agg(F.count("*").alias("n")), "counts")
-    every = docs.sparkSession.range(BUCKETS).join(counts, "id", "left")
-    ordered = every.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "id"))).alias("o"))
-    ranked = ordered.select(F.array_sort(F.transform("o", lambda x, i: F.struct(x["id"].alias("id"), i.alias("rank")))).alias("r"))
-    return ranked.select(F.transform("r", lambda x: x["rank"])).scalar()
+def _levels(docs: DataFrame) -> Column:
+    """For each bucket one of 16 levels by count, doubling from a sixteenth of the mean on: 16 of them in a long."""
+    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
+    hashed = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket"))
+    counts = materialize(hashed.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
+    mean = (counts.agg(F.sum("n")).first()[0] or 1) / BUCKETS
+    level = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean))) + 4, F.lit(0)), F.lit(15)).cast("long")
+    leveled = counts.select("bucket", level.alias("level")).groupBy(F.floor(F.col("bucket") / 16).cast("int").alias("at"))
+    words = leveled.agg(F.bit_or(F.expr("shiftleft(level, cast(bucket % 16 as int) * 4)")).alias("word"))
+    return constant_longs(words.collect(), BUCKETS // 16)  # BUCKETS / 16 rows at most
 
 
-def _with_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """`lines` with `words`: the distinct words as longs that sort by rarity.
+def _with_sets(lines: DataFrame, levels: Column) -> DataFrame:
+    """`lines` with `words`: the distinct words as longs that sort by rarity, 4 bits of level and 60 of hash."""
 
-    The bucket is part of the hash, so its rank in its place keeps the 64 bits distinct.
-    """
-    rows = lines.withColumn("_h", F.explode(F.array(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))))).withColumn("_ranks", ranks)
+    def by_rarity(h: Column, table: Column) -> Column:
+        bucket = h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+        level = F.call_function("shiftright", F.get(table, F.shiftright(bucket, 4)), F.shiftleft(bucket.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(15).cast("long"))
+        return F.shiftleft(level - 8, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
 
-    def by_rarity(h: Column) -> Column:
-        rank = F.get("_ranks", F.pmod(h, F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft((rank - BUCKETS // 2).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-
-    return rows.withColumn("words", F.explode(F.array(F.sort_array(F.array_distinct(F.transform("_h", by_rarity)))))).drop("_h", "_ranks", "line")
+    hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    words = let(levels, lambda table: F.sort_array(F.array_distinct(F.transform(hashed, lambda h: by_rarity(h, table)))))
+    # one generated row: the words are computed once, whatever is made of them
+    return lines.withColumn("words", F.explode(F.array(words))).drop("line")
 
 
 def _need(a: Column, b: Column, similarity: float) -> Column:
@@ -73,43 +78,48 @@ def _need(a: Column, b: Column, similarity: float) -> Column:
 def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, tie, line_no, removed) of every line with words; tie: xxhash64 of the text."""
     docs = docs.select("doc_id", "text")
-    ranks = _ranks(docs)
+    levels = _levels(docs)
     size = F.size("words")
     prefix = F.slice("words", F.lit(1), size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
+    one = F.lit(1).cast("long")
+    parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     # two hashes of the whole set: 128 bits name it
-    named = _with_sets(_lines(docs), ranks).select(
-        "doc_id", "tie", "line_no", size.alias("size"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), prefix.alias("prefix")
+    named = _with_sets(_lines(docs), levels).select(
+        "doc_id", "tie", "line_no", size.alias("size"), parity.alias("parity"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), prefix.alias("prefix")
     )
     lines = materialize(named, "lines")
     place = F.struct("doc_id", "tie", "line_no")
-    sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets.select("place", "size", "k1", "k2", "prefix"), "sets")
-    listed = materialize(sets.select("place", "size", F.posexplode("prefix").alias("at", "word")), "listed")
+    sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets.select("place", "size", "parity", "k1", "k2", "prefix"), "sets")
+    listed = sets.select("place", "size", "parity", F.posexplode("prefix").alias("at", "word"))
 
-    heads = listed.groupBy("word").agg(F.min(F.struct("place", "size", "at")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
-    near_heads = listed.join(heads, "word").select(F.col("a.place").alias("a_place"), F.col("a.size").alias("a_size"), F.col("a.at").alias("a_at"), "place", "size", "at")
-    first = _verified(docs, ranks, _filtered(near_heads, similarity), similarity)
+    heads = listed.groupBy("word").agg(F.min(F.struct("place", "size", "at", "parity")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
+    near_heads = listed.join(heads, "word").select(F.col("a.place").alias("a_place"), F.col("a.size").alias("a_size"), F.col("a.at").alias("a_at"), F.col("a.parity").alias("a_parity"), "place", "size", "at", "parity")
+    first = _verified(docs, levels, _filtered(near_heads, similarity), similarity)
     rest = listed.join(first, "place", "left_anti")
-    a = listed.select("word", F.col("place").alias("a_place"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
-    second = _verified(docs, ranks, _filtered(rest.join(a, "word"), similarity), similarity)
+    a = listed.select("word", F.col("place").alias("a_place"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), F.col("parity").alias("a_parity"))
+    second = _verified(docs, levels, _filtered(rest.join(a, "word"), similarity), similarity)
     matched = materialize(first.union(second), "matched")
     later = sets.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
     return lines.join(later, ["k1", "k2", "size"]).select("doc_id", "tie", "line_no", (F.col("found").isNotNull() | (place != F.col("place"))).alias("removed"))
 
 
 def _filtered(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): places of sets, a before b, that pass the length and the positional filter."""
+    """(a, b): places of sets, a before b, that pass the length, the positional and the parity filter."""
     need = _need(F.col("a_size"), F.col("size"), similarity)
     return (
         pairs.filter(F.col("a_place") < F.col("place"))
         .filter(F.least("a_size", "size") >= F.greatest("a_size", "size") * F.lit(similarity) - F.lit(1e-9))
-        .filter(F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")) >= need - F.least("a_at", "at"))
+        # a pair passes at its first common word, before which neither has another
+        .filter(F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")) >= need)
+        # each word only one has flips a bit of the parities, so they differ in no more bits than that
+        .filter(F.bit_count(F.col("a_parity").bitwiseXOR(F.col("parity"))) <= F.col("a_size") + F.col("size") - 2 * need)
         .select(F.col("a_place").alias("a"), F.col("place").alias("b"))
         .distinct()
     )
 
 
-def _verified(docs: DataFrame, ranks: Column, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: float) -> DataFrame:
     """(place) of the sets that match one before them."""
     pairs = materialize(pairs, "candidates")
     places = pairs.select(F.col("a").alias("place")).union(pairs.select(F.col("b").alias("place"))).distinct()
@@ -118,7 +128,7 @@ def _verified(docs: DataFrame, ranks: Column, pairs: DataFrame, similarity: floa
     same = lambda l, r: l["doc_id"].eqNullSafe(r["doc_id"]) & (l["tie"] == r["tie"]) & (l["line_no"] == r["line_no"])
     rows = _lines(docs)
     rows = rows.join(only, same(rows, only), "left_semi")
-    words = _with_sets(rows, ranks).select(F.struct("doc_id", "tie", "line_no").alias("place"), "words")
+    words = _with_sets(rows, levels).select(F.struct("doc_id", "tie", "line_no").alias("place"), "words")
     words = materialize(words, "words")
     a, b = words.select(F.col("place").alias("a"), F.col("words").alias("x")), words.select(F.col("place").alias("b"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
