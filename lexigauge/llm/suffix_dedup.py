@@ -40,7 +40,7 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 #: Bits that tell which grams occur again, and which are hot.
-KNOWN_BITS, HOT_BITS = 1 << 26, 1 << 20
+KNOWN_BITS, HOT_BITS = 1 << 24, 1 << 20
 HOT = 50_000
 #: Bytes of records that one group of grams should hold.
 GROUP_BYTES = 4 << 20
