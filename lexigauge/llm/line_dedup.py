@@ -11,8 +11,7 @@ another shares one of its s - ceil(0.8 s) + 1 rarest. Pairs that meet there must
 and the positional filter (what may still follow in both after their first common word), and the parities of 64 bits into which each word puts one must not differ in more
 bits than the sets may in words; then the whole sets are compared.
 Rarity is the corpus count of a word's hash bucket, of which there is a fixed number; any common
-order keeps the join exact. First each set meets the first set in its lists; only sets that match
-none of these go on to the whole lists.
+order keeps the join exact.
 
 A null text has no lines and stays null. Rows that share a doc_id come in the order of a hash of their
 texts, those that share the text as well are one document; null ids come first. Other columns are kept; `n_lines` and `n_removed` are replaced if they exist.
@@ -80,43 +79,45 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     docs = docs.select("doc_id", "text")
     levels = _levels(docs)
     size = F.size("words")
+    # 32 bits of a word do for the lists: words that share them only add candidates
+    short = lambda w: F.call_function("shiftright", w, F.lit(32)).cast("int")
     prefix = F.slice("words", F.lit(1), size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
     one = F.lit(1).cast("long")
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     # two hashes of the whole set: 128 bits name it
     named = _with_sets(_lines(docs), levels).select(
-        "doc_id", "tie", "line_no", size.alias("size"), parity.alias("parity"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), prefix.alias("prefix")
+        "doc_id", "tie", "line_no", size.alias("size"), parity.alias("parity"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.transform(prefix, short).alias("prefix")
     )
     lines = materialize(named, "lines")
     place = F.struct("doc_id", "tie", "line_no")
     sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets.select("place", "size", "parity", "k1", "k2", "prefix"), "sets")
-    listed = sets.select("place", "size", "parity", F.posexplode("prefix").alias("at", "word"))
-
-    heads = listed.groupBy("word").agg(F.min(F.struct("place", "size", "at", "parity")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
-    near_heads = listed.join(heads, "word").select(F.col("a.place").alias("a_place"), F.col("a.size").alias("a_size"), F.col("a.at").alias("a_at"), F.col("a.parity").alias("a_parity"), "place", "size", "at", "parity")
-    first = _verified(docs, levels, _filtered(near_heads, similarity), similarity)
-    rest = listed.join(first, "place", "left_anti")
-    a = listed.select("word", F.col("place").alias("a_place"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), F.col("parity").alias("a_parity"))
-    second = _verified(docs, levels, _filtered(rest.join(a, "word"), similarity), similarity)
-    matched = materialize(first.union(second), "matched")
-    later = sets.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
+    # both sides of the join are the same rows, so they are shuffled once
+    listed = sets.select("k1", "size", "parity", F.posexplode("prefix").alias("at", "word"))
+    pairs = materialize(_filtered(listed, similarity), "candidates")
+    firsts = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"))
+    named = materialize(firsts, "sets")
+    a = named.select(F.col("k1").alias("a"), F.col("place").alias("p"))
+    b = named.select(F.col("k1").alias("b"), F.col("place").alias("q"))
+    placed = pairs.join(a, "a").join(b, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    matched = materialize(_verified(docs, levels, placed, similarity), "matched")
+    later = named.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
     return lines.join(later, ["k1", "k2", "size"]).select("doc_id", "tie", "line_no", (F.col("found").isNotNull() | (place != F.col("place"))).alias("removed"))
 
 
-def _filtered(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): places of sets, a before b, that pass the length, the positional and the parity filter."""
+def _filtered(listed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): sets that meet in a list and pass the length, the positional and the parity filter."""
+    other = listed.select(F.col("k1").alias("a"), F.col("size").alias("a_size"), F.col("parity").alias("a_parity"), F.col("at").alias("a_at"), F.col("word").alias("a_word"))
     need = _need(F.col("a_size"), F.col("size"), similarity)
-    return (
-        pairs.filter(F.col("a_place") < F.col("place"))
-        .filter(F.least("a_size", "size") >= F.greatest("a_size", "size") * F.lit(similarity) - F.lit(1e-9))
+    meets = (
+        (F.col("a_word") == F.col("word"))
+        & (F.col("a") < F.col("k1"))
+        & (F.least("a_size", "size") >= F.greatest("a_size", "size") * F.lit(similarity) - F.lit(1e-9))
         # a pair passes at its first common word, before which neither has another
-        .filter(F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")) >= need)
+        & (F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")) >= need)
         # each word only one has flips a bit of the parities, so they differ in no more bits than that
-        .filter(F.bit_count(F.col("a_parity").bitwiseXOR(F.col("parity"))) <= F.col("a_size") + F.col("size") - 2 * need)
-        .select(F.col("a_place").alias("a"), F.col("place").alias("b"))
-        .distinct()
+        & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("parity"))) <= F.col("a_size") + F.col("size") - 2 * need)
     )
+    return listed.join(other, meets).select("a", F.col("k1").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: float) -> DataFrame:
