@@ -81,7 +81,10 @@ def train_dictionary(pages: DataFrame) -> bytes | None:
     import zstandard
 
     fit = pages.filter(F.octet_length("html").between(1, SAMPLE_PAGE_BYTES))
-    rows = fit.orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE_PAGES).select("html").collect()
+    # only hashes of all pages are compared by the driver, then SAMPLE_PAGES pages are fetched
+    key = F.xxhash64("page_id", "html")
+    least = fit.select(key.alias("key")).distinct().orderBy("key").limit(SAMPLE_PAGES)
+    rows = fit.withColumn("key", key).join(F.broadcast(least), "key", "left_semi").select("html").limit(SAMPLE_PAGES).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.html.encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError, MemoryError):
