@@ -128,7 +128,7 @@ def q_append_union(spark, sf):
 
 def q_normalized_write(spark, sf):
     path = new_folder(spark, "normalized")
-    write_normalized(H.normalize(_features(spark, sf)), path)
+    write_normalized(H.normalize(_features(spark, sf)), path, source=sf)
     return rounded(read_features(spark, path))
 
 

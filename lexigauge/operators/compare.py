@@ -53,7 +53,7 @@ def euclidean(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def mahalanobis(diff: pd.Series, cov: pd.Series) -> pd.Series:
-    """Distance by the inverse covariance; null where it is singular or not finite."""
+    """Distance by the inverse covariance; null where it lacks full rank or is not finite."""
 
     def one(d, c):
         if d is None or c is None:
@@ -62,10 +62,10 @@ def mahalanobis(diff: pd.Series, cov: pd.Series) -> pd.Series:
         matrix = np.array([np.asarray(row, dtype="float64") for row in c])
         if not (np.isfinite(vector).all() and np.isfinite(matrix).all()):
             return None
-        try:
-            square = vector @ np.linalg.inv(matrix) @ vector
-        except np.linalg.LinAlgError:
+        # a matrix without full rank often has an inverse, but one of rounding errors
+        if np.linalg.matrix_rank(matrix, hermitian=True) < len(matrix):
             return None
+        square = vector @ np.linalg.inv(matrix) @ vector
         return float(np.sqrt(square)) if np.isfinite(square) and square >= 0 else None
 
     return pd.Series([one(d, c) for d, c in zip(diff, cov)], dtype="float64")

@@ -10,12 +10,15 @@ from lexigauge.fixed_values import UNNAMED
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A Parquet table, or a CSV table with a header if the path says so."""
+    """A Parquet table, or a CSV table with a header if the path says so.
+
+    Cells may be quoted, hold doubled quotes and line breaks. Without a schema a CSV is read twice.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
     if path.rstrip("/").endswith(".csv"):
         if schema is None:
             reader = reader.option("inferSchema", True)
-        return reader.csv(path, header=True)
+        return reader.csv(path, header=True, quote='"', escape='"', multiLine=True)
     return reader.parquet(path)
 
 
@@ -53,8 +56,15 @@ def read_features(spark: SparkSession, path: str, schema: T.StructType | None =
     return _named(spark.read.schema(schema).parquet(path))
 
 
-def write_normalized(df: DataFrame, path: str, source: str | None = None) -> None:
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and folder, however it is written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return hadoop.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+
+
+def write_normalized(df: DataFrame, path: str, source: str) -> None:
     """Write a normalised table beside its source, never over it."""
-    if source is not None and path.rstrip("/") == source.rstrip("/"):
+    if _qualified(df.sparkSession, path) == _qualified(df.sparkSession, source):
         raise ValueError("the normalised table must not replace its source")
     df.write.mode("overwrite").parquet(path)
