@@ -8,7 +8,7 @@ well. Blank lines have no words and stay.
 Lines with equal sets are one set that first stands at one place. The words of a set are put in
 order of rarity, and only the prefix of the rarest is joined: a set of s words that shares 0.8 with
 another shares one of its s - ceil(0.8 s) + 1 rarest. Pairs that meet there must pass the length filter
-and the positional filter (what may still follow in both after their first common word), and the parities of 64 bits into which each word puts one must not differ in more
+and the positional filter (what may still follow in both after their first common word), and the parities of 128 bits into which each word puts one must not differ in more
 bits than the sets may in words; then the whole sets are compared.
 Rarity is the corpus count of a word's hash bucket, of which there is a fixed number; any common
 order keeps the join exact.
@@ -27,7 +27,7 @@ from .common import constant_longs, let
 
 SIMILARITY = 0.8
 #: Counters of words, a power of two; their number does not grow with the data.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 BROADCAST_ROWS = 200_000
 
 
@@ -44,27 +44,23 @@ def _words(line: Column) -> Column:
 
 
 def _levels(docs: DataFrame) -> Column:
-    """For each bucket one of 16 levels by count, doubling from a sixteenth of the mean on: 16 of them in a long."""
+    """For each bucket one of 16 levels by count, doubling from a sixteenth of the mean on, as the top bits of a long."""
     words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
     hashed = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket"))
     counts = materialize(hashed.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
     mean = (counts.agg(F.sum("n")).first()[0] or 1) / BUCKETS
     level = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean))) + 4, F.lit(0)), F.lit(15)).cast("long")
-    leveled = counts.select("bucket", level.alias("level")).groupBy(F.floor(F.col("bucket") / 16).cast("int").alias("at"))
-    words = leveled.agg(F.bit_or(F.expr("shiftleft(level, cast(bucket % 16 as int) * 4)")).alias("word"))
-    return constant_longs(words.collect(), BUCKETS // 16)  # BUCKETS / 16 rows at most
+    leveled = counts.select(F.col("bucket").cast("int"), F.shiftleft(level - 8, 60))
+    return constant_longs(leveled.collect(), BUCKETS)  # BUCKETS rows at most
 
 
 def _with_sets(lines: DataFrame, levels: Column) -> DataFrame:
     """`lines` with `words`: the distinct words as longs that sort by rarity, 4 bits of level and 60 of hash."""
 
-    def by_rarity(h: Column, table: Column) -> Column:
-        bucket = h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-        level = F.call_function("shiftright", F.get(table, F.shiftright(bucket, 4)), F.shiftleft(bucket.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(15).cast("long"))
-        return F.shiftleft(level - 8, 60).bitwiseOR(F.shiftrightunsigned(h, 4))
-
-    hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    words = let(levels, lambda table: F.sort_array(F.array_distinct(F.transform(hashed, lambda h: by_rarity(h, table)))))
+    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    hashed = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    by_rarity = lambda table: F.transform(hashed, lambda h: F.get(table, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 4)))
+    words = let(levels, lambda table: F.sort_array(by_rarity(table)))
     # one generated row: the words are computed once, whatever is made of them
     return lines.withColumn("words", F.explode(F.array(words))).drop("line")
 
@@ -83,41 +79,54 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     short = lambda w: F.call_function("shiftright", w, F.lit(32)).cast("int")
     prefix = F.slice("words", F.lit(1), size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
     one = F.lit(1).cast("long")
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    flip = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    half = lambda bit: F.filter("words", lambda w: w.bitwiseAND(F.lit(64).cast("long")) == bit)
+    parities = [F.aggregate(half(bit), F.lit(0).cast("long"), flip).alias(name) for bit, name in ((0, "even"), (64, "odd"))]
     # two hashes of the whole set: 128 bits name it
     named = _with_sets(_lines(docs), levels).select(
-        "doc_id", "tie", "line_no", size.alias("size"), parity.alias("parity"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.transform(prefix, short).alias("prefix")
+        "doc_id", "tie", "line_no", size.alias("size"), *parities, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.transform(prefix, short).alias("prefix")
     )
     lines = materialize(named, "lines")
     place = F.struct("doc_id", "tie", "line_no")
-    sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets, "sets")
     # both sides of the join are the same rows, so they are shuffled once
-    listed = sets.select("k1", "size", "parity", F.posexplode("prefix").alias("at", "word"))
+    listed = sets.select("place.*", "size", "even", "odd", F.posexplode("prefix").alias("at", "word"))
     pairs = materialize(_filtered(listed, similarity), "candidates")
-    firsts = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"))
-    named = materialize(firsts, "sets")
-    a = named.select(F.col("k1").alias("a"), F.col("place").alias("p"))
-    b = named.select(F.col("k1").alias("b"), F.col("place").alias("q"))
-    placed = pairs.join(a, "a").join(b, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    matched = materialize(_verified(docs, levels, placed, similarity), "matched")
-    later = named.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
+    matched = _matched(docs, levels, pairs, similarity)
+    later = sets.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
     return lines.join(later, ["k1", "k2", "size"]).select("doc_id", "tie", "line_no", (F.col("found").isNotNull() | (place != F.col("place"))).alias("removed"))
 
 
 def _filtered(listed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): sets that meet in a list and pass the length, the positional and the parity filter."""
-    other = listed.select(F.col("k1").alias("a"), F.col("size").alias("a_size"), F.col("parity").alias("a_parity"), F.col("at").alias("a_at"), F.col("word").alias("a_word"))
+    """(a, b, apart): places of sets that meet in a list and pass the length, the positional and the parity filter, the earlier first."""
+    other = listed.select(*[F.col(c).alias(f"a_{c}") for c in listed.columns])
     need = _need(F.col("a_size"), F.col("size"), similarity)
+    apart = F.bit_count(F.col("a_even").bitwiseXOR(F.col("even"))) + F.bit_count(F.col("a_odd").bitwiseXOR(F.col("odd")))
+    a, b = F.struct(*[F.col(f"a_{c}").alias(c) for c in ("doc_id", "tie", "line_no")]), F.struct("doc_id", "tie", "line_no")
     meets = (
         (F.col("a_word") == F.col("word"))
-        & (F.col("a") < F.col("k1"))
         & (F.least("a_size", "size") >= F.greatest("a_size", "size") * F.lit(similarity) - F.lit(1e-9))
+        # each word only one has flips a bit of the parities, so they differ in no more bits than that
+        & (apart <= F.col("a_size") + F.col("size") - 2 * need)
         # a pair passes at its first common word, before which neither has another
         & (F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")) >= need)
-        # each word only one has flips a bit of the parities, so they differ in no more bits than that
-        & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("parity"))) <= F.col("a_size") + F.col("size") - 2 * need)
+        & (a < b)
     )
-    return listed.join(other, meets).select("a", F.col("k1").alias("b")).distinct()
+    return listed.join(other, meets).select(a.alias("a"), b.alias("b"), apart.alias("apart")).distinct()
+
+
+def _matched(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(place) of the sets that match one before them.
+
+    A set that is most like an earlier one mostly matches it, so that pair is verified first; the other pairs only
+    of sets that it leaves open.
+    """
+    likely = pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a"))
+    first = materialize(_verified(docs, levels, likely, similarity), "matched_first")
+    others = materialize(pairs.join(first.withColumnRenamed("place", "b"), "b", "left_anti").select("a", "b"), "open")
+    second = materialize(_verified(docs, levels, others, similarity), "matched_second")
+    return first.union(second)
 
 
 def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: float) -> DataFrame:
