@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's own setting: remove the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "lexigauge", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; anything given in `conf` wins."""
     builder = SparkSession.builder.appName(app)
@@ -47,11 +51,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and go on from the written table.
 
-    Cuts the lineage, survives the loss of executors, and gives later joins a known size.
+    Cuts the lineage, survives the loss of executors, and gives later joins a known size. The shuffle
+    files of the write go with its end, so a chain of written tables needs the disk of one step.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
