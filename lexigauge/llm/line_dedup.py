@@ -89,31 +89,33 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = materialize(named, "lines")
     place = F.struct("doc_id", "tie", "line_no")
     sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets, "sets")
+    sets = materialize(sets.select("k1", "k2", "size", "place.*", "even", "odd", "prefix"), "sets")
     # both sides of the join are the same rows, so they are shuffled once
-    listed = sets.select("place.*", "size", "even", "odd", F.posexplode("prefix").alias("at", "word"))
+    listed = sets.select("doc_id", "tie", "line_no", "size", "even", "odd", F.posexplode("prefix").alias("at", "word"))
     pairs = materialize(_filtered(listed, similarity), "candidates")
     matched = _matched(docs, levels, pairs, similarity)
-    later = sets.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
+    named = sets.select("k1", "k2", "size", place.alias("place"))
+    later = named.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
     return lines.join(later, ["k1", "k2", "size"]).select("doc_id", "tie", "line_no", (F.col("found").isNotNull() | (place != F.col("place"))).alias("removed"))
 
 
 def _filtered(listed: DataFrame, similarity: float) -> DataFrame:
     """(a, b, apart): places of sets that meet in a list and pass the length, the positional and the parity filter, the earlier first."""
-    other = listed.select(*[F.col(c).alias(f"a_{c}") for c in listed.columns])
-    need = _need(F.col("a_size"), F.col("size"), similarity)
-    apart = F.bit_count(F.col("a_even").bitwiseXOR(F.col("even"))) + F.bit_count(F.col("a_odd").bitwiseXOR(F.col("odd")))
-    a, b = F.struct(*[F.col(f"a_{c}").alias(c) for c in ("doc_id", "tie", "line_no")]), F.struct("doc_id", "tie", "line_no")
+    # aliases of the tables, not of their columns: so both sides are the same exchange
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    need = _need(x("size"), y("size"), similarity)
+    apart = F.bit_count(x("even").bitwiseXOR(y("even"))) + F.bit_count(x("odd").bitwiseXOR(y("odd")))
+    a, b = (F.struct(*[of(c).alias(c) for c in ("doc_id", "tie", "line_no")]) for of in (x, y))
     meets = (
-        (F.col("a_word") == F.col("word"))
-        & (F.least("a_size", "size") >= F.greatest("a_size", "size") * F.lit(similarity) - F.lit(1e-9))
+        (x("word") == y("word"))
+        & (F.least(x("size"), y("size")) >= F.greatest(x("size"), y("size")) * F.lit(similarity) - F.lit(1e-9))
         # each word only one has flips a bit of the parities, so they differ in no more bits than that
-        & (apart <= F.col("a_size") + F.col("size") - 2 * need)
+        & (apart <= x("size") + y("size") - 2 * need)
         # a pair passes at its first common word, before which neither has another
-        & (F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")) >= need)
+        & (F.least(x("size") - x("at"), y("size") - y("at")) >= need)
         & (a < b)
     )
-    return listed.join(other, meets).select(a.alias("a"), b.alias("b"), apart.alias("apart")).distinct()
+    return listed.alias("x").join(listed.alias("y"), meets).select(a.alias("a"), b.alias("b"), apart.alias("apart")).distinct()
 
 
 def _matched(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: float) -> DataFrame:
