@@ -1,17 +1,20 @@
 """License scan by ordered signature rules.
 
 A text is reduced to its words (A-Z lower-cased, cut at every other ASCII character), and the rules
-are regular expressions over words. A rule is tried only on texts that hold its keyword. Detections
+are regular expressions over words. A rule is tried only on texts that hold its keyword and every
+word that all its matches hold. Detections
 are intervals of words. A detection that lies within another of the same or a higher priority is
 suppressed; the ones left give the labels. The base phrases are never suppressed.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import normal_words, text_of
+from .common import let, normal_words, text_of
 
 #: The phrases that count as base places, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -132,6 +135,10 @@ def _count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _pattern(regex: Column) -> Column:
+    return F.concat(F.lit(" (?:"), regex, F.lit(")(?= )"))
+
+
 def places(words: Column, regex: Column) -> Column:
     """Intervals (start, stop) of the words that match, from left to right.
 
@@ -145,18 +152,40 @@ def places(words: Column, regex: Column) -> Column:
         return F.struct(stop.alias("at"), found.alias("found"))
 
     # a match begins with a blank, so blanks before it are the words before it
-    pattern = F.concat(F.lit(" (?:"), regex, F.lit(")(?= )"))
+    pattern = _pattern(regex)
     pairs = F.arrays_zip(F.split(words, pattern).alias("gap"), F.regexp_extract_all(words, pattern, F.lit(0)).alias("hit"))
     none = F.lit(None).cast("array<struct<start:int,stop:int>>")
     start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<start:int,stop:int>>")).alias("found"))
     return F.aggregate(pairs, start, step, lambda acc: acc["found"])
 
 
+def needed(regex: str) -> list[str]:
+    """Words that every match of a regex holds as whole words: those outside of groups that nothing may stick to."""
+    # a group whose alternatives all end in a blank stands apart from what follows; any other may be part of a word
+    apart = lambda m: "" if all(a.endswith(" ") for a in m[1].split("|")) else "#"
+    before = None
+    while regex != before:
+        before, regex = regex, re.sub(r"\(\?:([^()]*)\)(?:\?|\{\d+,\d+\})?", apart, regex)
+    return [w for w in re.sub(r"[^ ]* \?[^ ]*", "#", regex).split(" ") if re.fullmatch("[a-z0-9]+", w)]
+
+
 def detect(words: Column, table: list[tuple[str, str, str, int]]) -> Column:
-    """All matches of the rules whose keyword the text holds: (start, stop, label, priority)."""
-    listed = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority")) for a, k, r, p in table])
-    gated = F.filter(listed, lambda r: F.contains(words, r["keyword"]))
-    hits = F.transform(gated, lambda r: F.transform(places(words, r["regex"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), r["label"].alias("label"), r["priority"].alias("priority"))))
+    """All matches of the rules: (start, stop, label, priority).
+
+    A rule is tried on texts that hold its keyword and all the words it needs; those are looked up in one
+    pass over the text's words. The keyword comes first, as the rarest of them.
+    """
+    needs = [sorted(dict.fromkeys(needed(r)), key=lambda w: w not in k.split(" ")) for _, k, r, _ in table]
+    fields = lambda a, k, r, p, n: F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority"), F.array(*map(F.lit, n)).cast("array<string>").alias("needs"))
+    listed = F.array(*[fields(*rule, n) for rule, n in zip(table, needs)])
+    known = F.array(*[F.lit(w) for w in sorted({w for n in needs for w in n})]).cast("array<string>")
+
+    def gated(present: Column) -> Column:
+        return F.filter(listed, lambda r: F.forall(r["needs"], lambda w: F.array_contains(present, w)) & F.contains(words, r["keyword"]))
+
+    tried = let(F.array_intersect(F.split(words, " "), known), gated)
+    matching = F.filter(tried, lambda r: F.rlike(words, _pattern(r["regex"])))
+    hits = F.transform(matching, lambda r: F.transform(places(words, r["regex"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), r["label"].alias("label"), r["priority"].alias("priority"))))
     return F.flatten(hits)
 
 
@@ -195,14 +224,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     Places are (start, stop, label, priority) in words from 0, stop exclusive. A null text counts as
     empty. Rows are scanned each on their own: repeated ones give the same, an empty table nothing.
     """
-    base = [(label, phrase.split(" ")[-2], phrase, 9) for phrase, label in BASE.items()]
+    base = [(label, phrase, phrase, 9) for phrase, label in BASE.items()]
     table = rules()
     levels = sorted({p for *_, p in table}, reverse=True)
-    gate = "|".join(sorted({k for _, k, *_ in table}))
     words = normal_words(text_of(docs, text))
     # one generated row: nothing above it is evaluated twice
     rows = docs.withColumn("_words", F.explode(F.array(words)))
-    found = F.when(F.col("_words").rlike(gate), suppress(detect(F.col("_words"), table), levels))
+    found = suppress(detect(F.col("_words"), table), levels)
     rows = rows.withColumn("_found", F.explode(F.array(F.struct(found.alias("rules"), detect(F.col("_words"), base).alias("base")))))
     empty = F.slice(F.col("_found.base"), 1, 0)
     return rows.select(

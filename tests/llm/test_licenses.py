@@ -68,3 +68,23 @@ def test_rules_compile_and_prefilter_is_sound():
     for _, keyword, regex, _ in RULES:
         re.compile(regex)
         assert keyword in " ".join(regex.replace("(?:", " ").replace("https?", "https").split()).replace("[sc]", "s") or keyword == "license", (keyword, regex)
+
+
+def written(regex, rnd):
+    """A random text that the regex matches: alternatives chosen, optional parts kept or left out."""
+    before = None
+    while regex != before:
+        before = regex
+        regex = re.sub(r"\(\?:([^()]*)\)(\?|\{\d+,\d+\})?", lambda m: rnd.choice(m[1].split("|")) if m[2] is None or m[2] != "?" or rnd.random() < 0.5 else "", regex)
+    regex = regex.replace("[^ ]+", "foo")
+    return re.sub(r"\[([^]]+)\]", lambda m: m[1][0], re.sub(r"(\[[^]]+\]|.)\?", lambda m: m[1] if rnd.random() < 0.5 else "", regex))
+
+
+def test_every_match_holds_the_needed_words():
+    rnd = random.Random(5)
+    for _, _, regex, _ in RULES:
+        for _ in range(30):
+            text = written(regex, rnd)
+            assert re.fullmatch(regex, text), (regex, text)
+            assert set(licenses.needed(regex)) <= set(text.split(" ")), (regex, text)
+    assert licenses.needed("apache (?:software )?license (?:version |v ?)?2(?: 0)?") == ["apache", "license"]
