@@ -603,8 +603,8 @@ COMPARISON = {
         SELECT n_rows, '{Q}' AS feature, round(q, 6) AS mean, round(sq, 6) AS std FROM u
         UNION ALL SELECT n_rows, '{E}', round(e, 6), round(se, 6) FROM u""",
     "user_vector_all": f"""
-        WITH {fit_cte("(SELECT * FROM lineitem WHERE l_returnflag = 'N')", LINE_FEATURES)},
-        v AS (SELECT count(*) AS n_rows, avg({Q}) AS q, avg({E}) AS e FROM lineitem)
+        WITH {fit_cte("lineitem", LINE_FEATURES)},
+        v AS (SELECT count(*) AS n_rows, avg(p_size) AS q, avg(p_retailprice) AS e FROM part)
         SELECT n_rows, '{Q}' AS feature, round({_z("q", Q)}, 6) AS mean, 0.0::DOUBLE AS std FROM v, fit
         UNION ALL SELECT n_rows, '{E}', round({_z("e", E)}, 6), 0.0::DOUBLE FROM v, fit""",
     "group_moments": f"""

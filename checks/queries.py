@@ -350,9 +350,9 @@ def q_user_vector(spark, sf):
 
 
 def q_user_vector_all(spark, sf):
-    lines = _lines(spark, sf)
-    fit = M.fit_scaler(D.table(spark, sf, "lineitem").filter("l_returnflag = 'N'"), D.LINE_FEATURES)
-    vector = C.user_vector(lines, D.LINE_FEATURES, fit)
+    # the reference is all of lineitem, the user's data all of part under the same feature names
+    parts = D.table(spark, sf, "part").selectExpr("CAST(p_size AS DOUBLE) AS l_quantity", "p_retailprice AS l_extendedprice")
+    vector = C.user_vector(parts, D.LINE_FEATURES, M.fit_scaler(_lines(spark, sf), D.LINE_FEATURES))
     return rounded(_by_feature(vector, D.LINE_FEATURES, ["n_rows"], ["mean", "std"]))
 
 
