@@ -33,6 +33,8 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _WIDE_SPACE = re.compile(r"\s | \s")
 #: Pieces remembered by a worker; beyond that it starts anew.
 CACHE_ENTRIES = 300_000
+#: Tokens decoded at a time.
+BLOCK = 1 << 16
 
 
 def byte_characters() -> list[str]:
@@ -211,14 +213,17 @@ class Decoder:
         self.bytes, self.at = vocabulary.offsets()
 
     def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
+        # in blocks, as positions take many times the memory of the text
+        blocks = [self.block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+        return b"".join(blocks).decode("utf-8", "replace")
+
+    def block(self, ids: np.ndarray) -> bytes:
         start = self.at[ids]
         size = self.at[ids + 1] - start
         last = np.cumsum(size)
         # byte k of the text is byte k - (last - size) of its token
         where = np.arange(last[-1]) + np.repeat(start - (last - size), size)
-        return self.bytes[where].tobytes().decode("utf-8", "replace")
+        return self.bytes[where].tobytes()
 
 
 def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -59,3 +59,16 @@ def test_table(spark, library):
         assert r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0
+
+
+def test_decoding_in_blocks_cuts_no_character(monkeypatch):
+    import public_tokenizers
+
+    source = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    vocabulary = bpe.Vocabulary(source)
+    text = "Straße 日本語 🙂🙃 naïve " * 50
+    ids = bpe.Encoder(vocabulary).encode(text)
+    for size in (1, 2, 7, len(ids), 1 << 16):
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        assert bpe.Decoder(vocabulary).decode(ids) == text
+    assert bpe.Decoder(vocabulary).decode(ids[:0]) == ""
