@@ -47,14 +47,16 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import new_folder
     from . import sharding
 
+    # whole rows are shuffled and written; sizes and checksums are those of the texts read from the shards
+    shards = sharding.write_shards(_table(spark, sf_dir, "documents"), new_folder(spark, "shards"), 16)
     text = F.coalesce("text", F.lit(""))
-    sizes = _table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    placed = sharding.shuffled_shards(sizes, 16)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shards.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

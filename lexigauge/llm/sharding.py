@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import broadcast_within, materialize, without_shuffle_files
 
 BUCKET_BYTES = 16 << 20
 SEED = 20_240
 #: Buckets whose offsets are added up together.
 SPAN = 1024
+#: Buckets up to which their offsets are broadcast, so that the rows aren't shuffled to meet them.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -51,9 +53,9 @@ def shuffled_shards(df: DataFrame, n_shards: int = 16, seed: int = SEED, bucket_
     within = counts.withColumn("before", F.sum("n").over(Window.partitionBy("span").orderBy("bucket")) - F.col("n"))
     spans = counts.groupBy("span").agg(F.sum("n").alias("n_span"))
     spans = spans.select("span", (F.sum("n_span").over(Window.orderBy("span")) - F.col("n_span")).alias("earlier"))
-    offsets = within.join(spans, "span").select("bucket", (F.col("before") + F.col("earlier")).alias("offset"))
+    offsets = materialize(within.join(spans, "span").select("bucket", (F.col("before") + F.col("earlier")).alias("offset")), "offsets")
     place = F.col("at") + F.col("offset")
-    return written.join(offsets, "bucket").select(
+    return written.join(broadcast_within(offsets, BROADCAST_BUCKETS), "bucket").select(
         "row.*", F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot")
     )
 
@@ -62,8 +64,13 @@ def _by_key(a: Column, b: Column) -> Column:
     return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
 
 
-def write_shards(df: DataFrame, path: str, n_shards: int = 16, seed: int = SEED) -> None:
-    """Write the shards as Parquet in folders shard=0, shard=1, ..., each file in the order of `slot`."""
-    placed = shuffled_shards(df, n_shards, seed)
+def write_shards(df: DataFrame, path: str, n_shards: int = 16, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Write the shards as Parquet in folders shard=0, shard=1, ..., each file in the order of `slot`.
+
+    Returns the rows as they are read back, with `shard` and `slot`.
+    """
+    placed = shuffled_shards(df, n_shards, seed, bucket_bytes)
     blocks = placed.withColumn("_block", F.floor(F.col("slot") / (1 << 17)))
-    blocks.repartition("shard", "_block").sortWithinPartitions("shard", "slot").drop("_block").write.partitionBy("shard").parquet(path)
+    with without_shuffle_files(df.sparkSession):
+        blocks.repartition("shard", "_block").sortWithinPartitions("shard", "slot").drop("_block").write.partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns)

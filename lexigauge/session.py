@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexigauge/{uuid.uuid4().hex}/{name}"
 
 
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each query within go with its end."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and go on from the written table.
 
@@ -56,12 +69,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with without_shuffle_files(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

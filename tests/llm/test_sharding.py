@@ -1,7 +1,8 @@
+import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
-from lexigauge.llm import sharding
+from lexigauge.llm import queries, sharding
 
 
 def test_shards(spark, tmp_path):
@@ -36,3 +37,27 @@ def test_few(spark):
     assert sharding.shuffled_shards(df).count() == 0
     one = sharding.shuffled_shards(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
     assert [(r.shard, r.slot) for r in one] == [(0, 0)]
+
+
+def test_query_shuffles_and_reads_back_whole_rows(spark, tmp_path, monkeypatch):
+    """The query's texts go through the buckets and the shards: long ones, null ones and many equal ones."""
+    texts = ["long é " * 100_000, None, ""] + ["equal text"] * 2000 + [f"text {i} é" for i in range(500)]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    given, write = [], sharding.write_shards
+
+    def seen(df, path, *args):
+        given.append((df.columns, path))
+        return write(df, path, *args, bucket_bytes=20_000)
+
+    monkeypatch.setattr(sharding, "write_shards", seen)
+    out = queries.op5_sharding(spark, str(tmp_path))
+    got = {r.doc_id: (r["size"], r.text_crc32, r.shard, r.slot) for r in out.collect()}
+    [(columns, path)] = given
+    assert columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    back = spark.read.parquet(path).collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in back) == Counter(rows)
+    for r in back:
+        data = (r.text or "").encode()
+        assert got[r.doc_id] == (len(data) + 1, zlib.crc32(data), r.shard, r.slot)
+    assert out.count() == len(rows) and [f.split("/shard=")[0].rsplit("/", 1)[1] for f in out.inputFiles()[:1]] == ["shards"]
