@@ -1,7 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its lines, long ones cut behind a sentence end after LEAST characters; each
-distinct paragraph has a 64-bit digest. A sketch has 3 rows of cells; every digest is added to one
+A text's paragraphs are its lines, long ones cut behind a sentence end after LEAST characters, or, if
+no end comes before RUN or between LEAST and MOST, at a word end that the text itself picks (behind one of
+some letters) within SPAN characters of RUN or LEAST, else at any word end there, else anywhere. So no
+paragraph is longer than MOST, and what is cut depends on the next MOST characters only. Each
+distinct paragraph has a 64-bit digest. A text below about LEAST characters with an end before RUN is one
+paragraph. A sketch has 3 rows of cells; every digest is added to one
 cell of each row (count, xor of digests, xor of check hashes). The sketch of one text minus that of
 another keeps just the digests in which they differ, and peeling recovers them: a cell with count 1
 or -1 whose check fits holds a single digest, which is taken out of its other cells, and so on.
@@ -25,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import let, text_of
 
 LEAST = 250
+MOST = 400
+#: Characters without a sentence end behind which a paragraph is cut, and how far a cut may lie behind that.
+RUN = 140
+SPAN = 60
 CELLS = 48
 PER_GROUP = 12
 RETRIES = 4
@@ -33,9 +41,24 @@ ROUNDS = 40
 RANGES = 256
 
 
+def _cut(least: int) -> str:
+    """From `least` characters to a word end behind some letters or to a mark of scripts without blanks; else to any word end, else to the limit."""
+    n = rf"[^\n]{{{least},{least + SPAN}}}?"
+    return rf"(?:{n}(?:[adnouyаиойям](?=\s)|[。！？，、])|{n}(?=\s)|[^\n]{{{least + SPAN}}})"
+
+
+#: Each alternative looks at MOST + 1 characters at most.
+PARAGRAPH = "|".join([
+    rf"(?![^\n]{{0,{RUN - 1}}}?[.!?]\s){_cut(RUN)}",
+    rf"[^\n]{{{LEAST},{MOST - 1}}}?[.!?](?=\s)",
+    rf"(?=[^\n]{{{MOST + 1}}}){_cut(LEAST)}",
+    rf"[^\n]{{1,{MOST}}}",
+])
+
+
 def paragraphs(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    parts = F.regexp_extract_all(text, F.lit(rf"[^\n]{{{LEAST},}}?[.!?](?=\s)|[^\n]+"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p))))
 
 

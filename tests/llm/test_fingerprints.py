@@ -59,3 +59,29 @@ def test_peeling_retries_and_never_lies(spark):
         want = (len(set(r.a) - set(r.b)), len(set(r.b) - set(r.a)))
         assert tuple(r.g) == want and (r.p is None or tuple(r.p) == want)
     assert all(r.p for r in out[:8]) and not out[59].p
+
+
+def test_texts_without_lines_and_sentence_ends(spark):
+    """A text whose edited version keeps three quarters of it shares paragraphs with that; none is too long."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvwyé") for _ in range(rnd.randint(1, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    texts = [words(n) for n in (60, 61, 80, 81, 150, 151, 400, 401, 3000, 3001)]  # from about 300 characters
+    texts += [words(n)[:20] + ". " + words(n) for n in (110, 111, 300, 301)]  # an early end, then none
+    texts += ["".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(n)) for n in (300, 301, 5000, 5001)]  # no blanks either
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r for r in fingerprints.compare_versions(docs).collect()}
+    assert [i for i in out if out[i].near_edited <= out[i].near_next] == [] and all(r.near_next == 0 for r in out.values())
+    assert all(out[i].near_edited > 0.5 for i, t in enumerate(texts) if len(t) > 4000)
+    pieces = [r.p for r in docs.select(F.explode(F.regexp_extract_all("text", F.lit(fingerprints.PARAGRAPH), F.lit(0))).alias("p")).collect()]
+    assert max(map(len, pieces)) <= fingerprints.MOST and sum(map(len, pieces)) == sum(map(len, texts))
+    # words put in at the start of a long line move few cuts behind them
+    n = docs.filter("doc_id = 9").select(fingerprints.paragraphs(F.col("text")).alias("a"), fingerprints.paragraphs(F.concat(F.lit("some more words "), "text")).alias("b"))
+    r = n.select(F.size("a").alias("a"), F.size(F.array_intersect("a", "b")).alias("shared")).first()
+    assert r.shared > 0.7 * r.a
+
+
+def test_long_lines_are_cut_in_linear_time(spark):
+    runs = [c * 200_000 for c in ("a", " ", ".", "a ", "é", "。", ". ", ".\t ")]
+    found = spark.createDataFrame([(r,) for r in runs], "text string").select(F.size(fingerprints.paragraphs(F.col("text"))).alias("n")).collect()
+    assert all(0 < r.n <= 3000 for r in found)
