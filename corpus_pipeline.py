@@ -29,7 +29,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    Near are SimHashes of 4-word shingles within 4 bits, as in op9: texts that are all but equal. Of pairs of
+    different texts at Jaccard 0.8 or more most are farther apart (README gives the recall).
+    """
     return simhash.keep_one(docs)
 
 
