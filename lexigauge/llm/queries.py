@@ -101,8 +101,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+    from .common import ascii_lower
+
+    docs = _table(spark, sf_dir, "documents")
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(picked, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    out = merkle.manifest(docs, altered={"text": tampered})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op6_fingerprints, op7_warc, op8_decontamination, op9_simhash, op10_suffix_dedup)}
+    ops = (
+        op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op6_fingerprints, op7_warc,
+        op8_decontamination, op9_simhash, op10_suffix_dedup, op13_merkle,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def _shingle_sql(table: str, key: str) -> str:
