@@ -101,6 +101,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import merkle
     from .common import ascii_lower
@@ -115,7 +121,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op6_fingerprints, op7_warc,
-        op8_decontamination, op9_simhash, op10_suffix_dedup, op13_merkle,
+        op8_decontamination, op9_simhash, op10_suffix_dedup, op12_collocations, op13_merkle,
     )
     return {f.__name__: f for f in ops}
 
@@ -152,5 +158,30 @@ FROM g
 """
 
 
+def _phrases_sql(size: int) -> str:
+    return f"SELECT lang, {size} AS m, array_to_string(w[i : i + {size - 1}], ' ') AS phrase FROM w, unnest(range(1, len(w) - {size - 2})) AS t(i)"
+
+
+#: Phrases counted one by one, without stripes; a longer phrase is looked up by its text.
+OP12_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+     f AS (SELECT lang, m, phrase, count(*) AS f FROM ({" UNION ALL ".join(map(_phrases_sql, (1, 2, 3, 4)))}) GROUP BY ALL HAVING count(*) >= 30),
+     c AS (SELECT * FROM f s WHERE m > 1 AND NOT EXISTS (
+               SELECT 1 FROM f o WHERE o.lang = s.lang AND o.m > s.m AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ')
+                                   AND CAST(100 AS HUGEINT) * o.f >= CAST(80 AS HUGEINT) * s.f)),
+     k AS (SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+                  array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest FROM c, unnest(range(1, m)) AS t(k)),
+     s AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+           FROM k JOIN f x ON x.lang = k.lang AND x.phrase = head JOIN f y ON y.lang = k.lang AND y.phrase = rest),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b JOIN size USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op7_warc": OP7_SQL, "op8_decontamination": OP8_SQL, "op12_collocations": OP12_SQL}
