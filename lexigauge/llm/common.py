@@ -62,6 +62,14 @@ def constant_longs(rows: list, size: int) -> Column:
     return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(size))), ",").cast("array<bigint>")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """The schema of `df` with fields at its end, in place of any of the same name."""
     names = {n for n, _ in fields}

@@ -101,6 +101,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    out = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return out.select("doc_id", *base, "kept", "perplexity")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -121,7 +129,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_toxicity, op2_line_dedup, op3_bpe, op4_licenses, op5_sharding, op6_fingerprints, op7_warc,
-        op8_decontamination, op9_simhash, op10_suffix_dedup, op12_collocations, op13_merkle,
+        op8_decontamination, op9_simhash, op10_suffix_dedup, op11_quality, op12_collocations, op13_merkle,
     )
     return {f.__name__: f for f in ops}
 
