@@ -5,15 +5,10 @@ NaN features count as missing. Everything after the moments works on one row per
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BUILTIN_FEATURES = 8  # above this, covariances come from partial moments
-_FLUSH_GROUPS = 256  # groups whose partial moments a task holds at a time
+MAX_BUILTIN_FEATURES = 8  # above this, moments come from `wide_moments`
 
 
 def _numeric(feature: str) -> str:
@@ -31,7 +26,7 @@ def _names(features: list[str]) -> list[str]:
     return [f"f{i}" for i in range(len(features))]
 
 
-def _scale(std_pop: Column, low: Column, high: Column) -> Column:
+def scale_of(std_pop: Column, low: Column, high: Column) -> Column:
     """Population deviation, or 1 for a constant feature."""
     return F.when((high > low) & (std_pop > 0), std_pop).otherwise(
         F.when(low.isNotNull(), F.lit(1.0))
@@ -47,7 +42,7 @@ def _builtin_moments(names: list[str]) -> list[Column]:
         F.count("*").alias("n_rows"),
         _array([F.avg(c) for c in names]).alias("mean"),
         _array([F.stddev_samp(c) for c in names]).alias("std"),
-        _array([_scale(F.stddev_pop(c), F.min(c), F.max(c)) for c in names]).alias("scale"),
+        _array([scale_of(F.stddev_pop(c), F.min(c), F.max(c)) for c in names]).alias("scale"),
     ]
 
 
@@ -66,7 +61,7 @@ def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
         F.count("*").alias("n_rows"),
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"),
-        _scale(F.stddev_pop("x"), F.min("x"), F.max("x")).alias("scale"),
+        scale_of(F.stddev_pop("x"), F.min("x"), F.max("x")).alias("scale"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", "mean", "std", "scale")))
     packed = per_feature.agg(F.max("n_rows").alias("n_rows"), ordered.alias("by_pos"))
@@ -118,116 +113,3 @@ def scaled_groups(summary: DataFrame, fit: DataFrame) -> DataFrame:
             lambda row, si: F.zip_with(row, F.col("_fit.scale"), lambda c, sj: c / (si * sj)),
         ).alias("cov"),
     )
-
-
-# --- Wide tables -----------------------------------------------------------------------
-
-_PARTIAL = "grp string, i int, j int, n_rows bigint, n bigint, si double, sj double, q double"
-
-
-def _partial_moments(p: int):
-    """Per task: for every group and feature pair the count and sums of its complete rows."""
-    left, right = np.triu_indices(p)
-
-    def emit(state: dict) -> pa.RecordBatch:
-        groups = list(state)
-        size = len(left)
-        stack = {k: np.stack([state[g][k] for g in groups]) for k in ("n", "s", "q")}
-        return pa.RecordBatch.from_pydict(
-            {
-                "grp": pa.array(np.repeat(np.array(groups, dtype=object), size), pa.string()),
-                "i": pa.array(np.tile(left, len(groups)), pa.int32()),
-                "j": pa.array(np.tile(right, len(groups)), pa.int32()),
-                "n_rows": pa.array(np.repeat([state[g]["rows"] for g in groups], size), pa.int64()),
-                "n": pa.array(stack["n"][:, left, right].ravel().astype("int64")),
-                "si": pa.array(stack["s"][:, left, right].ravel()),
-                "sj": pa.array(stack["s"][:, right, left].ravel()),
-                "q": pa.array(stack["q"][:, left, right].ravel()),
-            }
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            values = rows.astype("float64").reshape(-1, p)
-            present = ~np.isnan(values)
-            filled = np.where(present, values, 0.0)
-            mask = present.astype("float64")
-            coded = batch.column(0).dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            for code, group in enumerate(coded.dictionary.to_pylist()):
-                hit = codes == code
-                x, m = filled[hit], mask[hit]
-                add = {"rows": len(x), "n": m.T @ m, "s": x.T @ m, "q": x.T @ x}
-                old = state.get(group)
-                state[group] = add if old is None else {k: old[k] + add[k] for k in add}
-            if len(state) > _FLUSH_GROUPS:
-                yield emit(state)
-                state = {}
-        if state:
-            yield emit(state)
-
-    return run
-
-
-def wide_group_moments(scaled: DataFrame, group: str, features: list[str]) -> DataFrame:
-    """`(grp, n_rows, mean, std, cov)` for any number of features.
-
-    Tasks reduce their rows to one row per (group, feature pair); Spark adds these up by
-    (group, pair), so a hot group is spread over its pairs, and what is collected per group
-    is the finished matrix only. Give it standardised features: that keeps the sums small.
-    """
-    p = len(features)
-    values = F.array(*feature_columns(features)).alias("x")
-    rows = scaled.filter(F.col(f"`{group}`").isNotNull()).select(
-        F.col(f"`{group}`").cast("string").alias("grp"), values
-    )
-    sums = (
-        rows.mapInArrow(_partial_moments(p), _PARTIAL)
-        .groupBy("grp", "i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n_rows", "n", "si", "sj", "q")])
-    )
-    co_moment = F.col("q") - F.try_divide(F.col("si") * F.col("sj"), F.col("n"))
-    cells = sums.select(
-        "grp",
-        "i",
-        "j",
-        "n_rows",
-        F.when(F.col("i") == F.col("j"), F.try_divide(F.col("si"), F.col("n"))).alias("mean"),
-        F.when(F.col("n") > 1, co_moment / (F.col("n") - 1)).alias("cov"),
-    )
-    # Both halves of the symmetric matrix, then rows of it.
-    mirrored = cells.select(
-        "grp",
-        "n_rows",
-        F.inline(
-            F.array_distinct(
-                F.array(
-                    F.struct(F.col("i").alias("i"), F.col("j").alias("j"), "mean", "cov"),
-                    F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "mean", "cov"),
-                )
-            )
-        ),
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("j", "cov", "mean")))
-    matrix_rows = mirrored.groupBy("grp", "i").agg(
-        F.max("n_rows").alias("n_rows"), F.max("mean").alias("mean"), in_order.alias("cells")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("i", "mean", "cells")))
-    packed = matrix_rows.groupBy("grp").agg(F.max("n_rows").alias("n_rows"), ordered.alias("r"))
-    return packed.select(
-        "grp",
-        "n_rows",
-        F.col("r")["mean"].alias("mean"),
-        F.transform(
-            "r",
-            lambda row: F.transform(
-                F.slice(row["cells"]["cov"], row["i"] + 1, F.lit(1)),
-                lambda var: F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))),
-            )[0],
-        ).alias("std"),
-        F.transform("r", lambda row: row["cells"]["cov"]).alias("cov"),
-    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigauge.operators import compare as C
 from lexigauge.operators import moments as M
+from lexigauge.operators.wide_moments import wide_group_summary
 from lexigauge.session import materialize
 
 
@@ -30,18 +31,17 @@ class OverallReport:
     most_divergent_features: DataFrame
 
 
-def fitted_groups(master: DataFrame, group: str, features: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The scaler fit and the standardised moments of every group, as lazy tables.
+def summary_of(master: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """Moments of all groups and of the whole master table, from one scan of it."""
+    wide = len(features) > M.MAX_BUILTIN_FEATURES
+    return (wide_group_summary if wide else M.group_summary)(master, group, features)
 
-    Up to `MAX_BUILTIN_FEATURES` features both come out of one summary of the master table;
-    beyond that the table is read once for the fit and once for the moments.
-    """
-    if len(features) <= M.MAX_BUILTIN_FEATURES:
-        summary = M.group_summary(master, group, features)
-        fit = summary.filter("is_total").select("n_rows", "mean", "std", "scale")
-        return fit, M.scaled_groups(summary, fit)
-    fit = M.fit_scaler(master, features)
-    return fit, M.wide_group_moments(M.standardize(master, features, fit), group, features)
+
+def fitted_groups(master: DataFrame, group: str, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The scaler fit and the standardised moments of every group, both out of one summary."""
+    summary = summary_of(master, group, features)
+    fit = summary.filter("is_total").select("n_rows", "mean", "std", "scale")
+    return fit, M.scaled_groups(summary, fit)
 
 
 class Comparison:
@@ -64,18 +64,10 @@ class Comparison:
     def groups(self, group_column: str) -> DataFrame:
         """Standardised moments per group; rows with a null group are kept apart as group null."""
         if group_column not in self._groups:
-            if len(self.features) <= M.MAX_BUILTIN_FEATURES:
-                summary = materialize(
-                    M.group_summary(self.master, group_column, self.features), "summary"
-                )
-                if self._fit is None:
-                    self._fit = summary.filter("is_total").select("n_rows", "mean", "std", "scale")
-                moments = M.scaled_groups(summary, self._fit)
-            else:
-                scaled = M.standardize(self.master, self.features, self.fit())
-                moments = materialize(
-                    M.wide_group_moments(scaled, group_column, self.features), "moments"
-                )
+            summary = materialize(summary_of(self.master, group_column, self.features), "summary")
+            if self._fit is None:
+                self._fit = summary.filter("is_total").select("n_rows", "mean", "std", "scale")
+            moments = M.scaled_groups(summary, self._fit)
             self._groups[group_column] = moments
         return self._groups[group_column]
 

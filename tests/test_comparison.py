@@ -138,33 +138,6 @@ def test_overall(master, user):
     assert report.most_divergent_features.count() == 1
 
 
-def test_wide_and_builtin_covariances_agree(spark, master, monkeypatch):
-    fit = M.fit_scaler(master, PAIR)
-    narrow = M.scaled_groups(M.group_summary(master, "grp", PAIR), fit).filter("grp is not null")
-    wide = M.wide_group_moments(M.standardize(master, PAIR, fit), "grp", PAIR)
-    got = {r.grp: r for r in wide.collect()}
-    monkeypatch.setattr(M, "MAX_BUILTIN_FEATURES", 1)
-    assert M.fit_scaler(master, PAIR).first().scale == pytest.approx(fit.first().scale)
-    for want in narrow.collect():
-        have = got[want.grp]
-        assert have.n_rows == want.n_rows
-        assert have.mean == pytest.approx(want.mean)
-        for x, y in zip(have.cov, want.cov):
-            assert x == pytest.approx(y)
-        assert have.std == pytest.approx(want.std)
-
-
-def test_wide_moments_flush_and_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(M, "_FLUSH_GROUPS", 1)
-    rng = np.random.default_rng(0)
-    data = [("hot" if i % 3 else f"g{i % 4}", *map(float, rng.normal(size=10))) for i in range(400)]
-    names = [f"f{i}" for i in range(10)]
-    df = spark.createDataFrame(data, ["grp", *names]).repartition(5)
-    for row in M.wide_group_moments(df, "grp", names).collect():
-        want = np.cov(np.array([d[1:] for d in data if d[0] == row.grp]).T)
-        assert np.array(row.cov) == pytest.approx(want)
-
-
 def test_wide_comparison(spark):
     rng = np.random.default_rng(1)
     names = [f"f{i}" for i in range(10)]
