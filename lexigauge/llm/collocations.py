@@ -1,12 +1,12 @@
 """Phrase collocations by the stripes pattern: each prefix of words keys a counter of the words behind it.
 
-A stripe is (lang, prefix, next words, counts). A task counts a block of words at once and sends one stripe for each prefix
-of the block; stripes of a prefix are merged word by word. Stripes of prefixes of 1, 2 and 3 words give phrases of 2, 3
-and 4 words. What a stripe counts under null is the prefix without a frequent word behind it, so a stripe's
-sum is how often its prefix occurs, and its largest count is the largest phrase that subsumes the prefix
-from the right.
+A stripe is (lang, prefix, next words, counts). A task counts a block of texts at once and sends one stripe for each prefix
+of the block; stripes of a prefix are merged word by word. Prefixes of 0 to 3 words give all phrases of 1 to 4
+words: a phrase's count stands in the stripe of its prefix, the counts of its parts in the stripes of theirs, and the
+largest count in the stripe of a phrase is that of the likeliest phrase that subsumes it from the right. The stripe without a
+prefix is kept as rows (lang, word, count), since it has all words; its sum is the size of the language.
 
-Only words, and then phrases, that occur LEAST times or more can begin or end a phrase that does. They are known
+Only words, and then pairs, that occur LEAST times or more are parts of a phrase that does. They are known
 from the stripes before and reach the tasks as a bit filter whose size follows their number, up to MAX_BITS;
 beyond that, or by chance, a rare phrase passes it, which costs time and changes nothing: what counts is the merged
 stripe. A word with more than a SLICES-th of all words has its stripes cut into slices by the hash of the next
@@ -16,7 +16,7 @@ A phrase is subsumed if a longer one holds it in a row and has SUBSUMED percent
 enough to know, as no longer phrase occurs oftener than those it holds. Scores are whole numbers of 38 digits.
 
 Null and empty texts have no words; a null language is `und`. Repeated rows count each. A long text is cut between
-pieces, so that a task holds about BLOCK words, and a piece at least. Ties in rank go to the smaller phrase by its
+pieces, so that a task holds some times BLOCK bytes, and a piece at least. Ties in rank go to the smaller phrase by its
 bytes. An empty table gives no rows. Columns other than text and lang are not read.
 """
 
@@ -37,8 +37,8 @@ LONGEST = 4
 SUBSUMED = 80
 SCALE = 2_000_000
 TOP = 2000
-#: Words a task counts at once.
-BLOCK = 1_000_000
+#: Bytes of text that a task counts at once.
+BLOCK = 12_000_000
 #: Bits of a filter for each phrase in it, and its largest size (64 MB).
 BITS_EACH, MAX_BITS = 16, 1 << 29
 FILTER_BLOCK = 1 << 19
@@ -111,8 +111,8 @@ def frequent_filter(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator, size: int) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, words) of about `size` words of one language each, cut between pieces."""
+def _blocks(batches: Iterator, size: int) -> Iterator[tuple[str, bytes]]:
+    """(lang, texts) of about `size` bytes of one language each, cut between pieces; BREAK for every mark."""
     import pyarrow as pa
 
     held, total = {}, 0
@@ -122,98 +122,108 @@ def _blocks(batches: Iterator, size: int) -> Iterator[tuple[str, list[bytes]]]:
         for lang, text in zip(langs, texts, strict=True):
             text, at = (text.as_py() or b"").translate(TABLE), 0
             while at < len(text):
-                end = text.find(BREAK, at + 4 * size) + 1 or len(text)
-                words = text[at:end].replace(BREAK, b" . ").split()
-                words.append(BREAK)
-                held.setdefault("und" if lang is None else lang, []).extend(words)
-                total, at = total + len(words), end
+                end = text.find(BREAK, at + size) + 1 or len(text)
+                held.setdefault("und" if lang is None else lang, []).append(text[at:end])
+                total, at = total + end - at, end
                 if total >= size:
-                    yield from held.items()
+                    yield from ((g, BREAK.join(parts)) for g, parts in held.items())
                     held, total = {}, 0
-    yield from held.items()
+    yield from ((g, BREAK.join(parts)) for g, parts in held.items())
 
 
-def _coded(words: list[bytes]) -> tuple[np.ndarray, "object", np.ndarray]:
-    """The words' numbers, the words by number, and which of the words are no BREAK."""
+def coded(text: bytes):
+    """The number of each word, the words by number, and whether the word behind it is in the same piece."""
     import pyarrow as pa
 
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    ids = coded.indices.to_numpy().astype(np.int64)
-    known = coded.dictionary
-    stop = known.index(pa.scalar(BREAK, pa.binary())).as_py()
-    return ids, known, ids != stop
+    points = np.frombuffer(text, np.uint8)
+    is_mark = points == ord(BREAK)
+    in_word = ~((points == 32) | (points == 9) | is_mark)
+    starts = np.flatnonzero(in_word & ~np.append(False, in_word[:-1]))
+    sizes = np.flatnonzero(in_word & ~np.append(in_word[1:], False)) + 1 - starts
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(points[in_word])).dictionary_encode()
+    piece = np.cumsum(is_mark, dtype=np.int32)[starts]
+    goes_on = np.append(piece[1:] == piece[:-1], False)[: len(starts)]
+    return words.indices.to_numpy().astype(np.int64), words.dictionary, goes_on
 
 
 def _count_words(block: int, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for lang, words in _blocks(batches, block):
-        ids, known, is_word = _coded(words)
-        n = np.bincount(ids[is_word], minlength=len(known))
-        used = np.flatnonzero(n)
+    for lang, text in _blocks(batches, block):
+        ids, known, _ = coded(text)
         # under null all words of the block
-        phrases = pa.concat_arrays([known.take(pa.array(used)).cast(pa.string()), pa.nulls(1, pa.string())])
-        counts = np.append(n[used], n.sum())
+        phrases = pa.concat_arrays([known, pa.nulls(1, pa.string())])
+        counts = np.append(np.bincount(ids, minlength=len(known)), len(ids))
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), phrases, pa.array(counts)], names=["lang", "phrase", "f"])
 
 
-def block_stripes(lang: str, words: list[bytes], k: int, filter_: np.ndarray, slices: dict[bytes, int]):
-    """The stripes of a block's prefixes of k words: a table (lang, prefix, slice, words, counts)."""
+def block_stripes(lang: str, text: bytes, sizes: tuple[int, ...], filter_: np.ndarray, slices: dict[str, int]) -> Iterator:
+    """The stripes of a block: for each of `sizes`, tables (lang, prefix, slice, words, counts) of prefixes of so many words.
+
+    All runs of sizes[0] words in a counted phrase pass the filter.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    ids, known, is_word = _coded(words)
-    hashes = word_hashes(known.to_pylist(), lang.encode())
-    n = len(ids) - k + 1
-    if n < 1:
-        return None
-    h, whole = hashes[ids[:n]], is_word[:n].copy()
-    for i in range(1, k):
-        h = mixed(h, hashes[ids[i : i + n]])
-        whole &= is_word[i : i + n]
-    begins = whole & passes(filter_, h)
-    at = np.flatnonzero(begins)
-    if not len(at):
-        return None
-    # the phrase one word on begins too: its last word is counted, else null
-    goes_on = np.append(begins[1:], False)[at]
-    then = np.where(goes_on, ids[np.minimum(at + k, len(ids) - 1)] + 1, 0)
-    size = len(known) + 1
-    prefix = ids[at]
-    places = at  # a place of each prefix, by its number
-    for i in range(1, k):
-        _, first, prefix = np.unique(prefix * size + ids[at + i], return_index=True, return_inverse=True)
-        places = at[first]
-    if k == 1:
-        places = np.empty(size, np.int64)
+    ids, known, goes_on = coded(text)
+    if not len(ids):
+        return
+    hashes = word_hashes([w.encode() for w in known.to_pylist()], lang.encode())
+    cuts = np.ones(len(known), np.uint64)
+    heavy = pc.index_in(pa.array(list(slices), pa.string()), known)
+    cuts[heavy.drop_null().to_numpy()] = np.array(list(slices.values()), np.uint64)[heavy.is_valid().to_numpy(zero_copy_only=False)]
+    base, size = sizes[0], len(known)
+    n = len(ids)
+    # runs of `base` words by their start; those that don't fit pass nothing
+    h, passing = hashes[ids], np.ones(n, bool)
+    for i in range(1, base):
+        h = mixed(h[:-1], hashes[ids[i:]])
+        passing = passing[:-1] & goes_on[i - 1 : n - 1]
+    passing &= passes(filter_, h)
+    for k in sizes:
+        counted = passing[: max(n - k, 0)].copy()
+        for i in range(1, k + 1):
+            at = slice(i, i + len(counted))
+            counted &= goes_on[i - 1 : i - 1 + len(counted)]
+            if i <= k + 1 - base:
+                counted &= passing[at]
+        at = np.flatnonzero(counted)
+        if not len(at):
+            continue
+        prefix, places = ids[at], np.empty(size, np.int64)
         places[prefix] = at
-    pairs, counts = np.unique(prefix * size + then, return_counts=True)
-    prefix, then = pairs // size, pairs % size
-    cut = np.array([slices.get(w, 1) for w in known.to_pylist()], np.uint64)[ids[places[prefix] + k - 1]]
-    slot = np.where(then > 0, hashes[np.maximum(then, 1) - 1] % cut, 0).astype(np.int64)
-    order = np.lexsort((slot, prefix))
-    prefix, then, slot, counts = prefix[order], then[order], slot[order], counts[order]
-    starts = np.flatnonzero(np.append(True, (np.diff(prefix) != 0) | (np.diff(slot) != 0)))
-    offsets = pa.array(np.append(starts, len(prefix)).astype(np.int32))
-    spots = places[prefix[starts]]
-    texts = [known.take(pa.array(ids[spots + i])).cast(pa.string()) for i in range(k)]
-    return pa.Table.from_arrays(
-        [
-            pa.array([lang] * len(starts)),
-            pc.binary_join_element_wise(*texts, " ") if k > 1 else texts[0],
-            pa.array(slot[starts].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, known.cast(pa.string()).take(pa.array(then - 1, mask=then == 0))),
-            pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
-        ],
-        names=["lang", "prefix", "slice", "words", "counts"],
-    )
+        for i in range(1, k):
+            # a place of each prefix, by its number
+            _, first, prefix = np.unique(prefix * size + ids[at + i], return_index=True, return_inverse=True)
+            places = at[first]
+        pairs, counts = np.unique(prefix * size + ids[at + k], return_counts=True)
+        prefix, then = pairs // size, pairs % size
+        slot = (hashes[then] % cuts[ids[places[prefix] + k - 1]]).astype(np.int64)
+        order = np.lexsort((slot, prefix))
+        prefix, then, slot, counts = prefix[order], then[order], slot[order], counts[order]
+        starts = np.flatnonzero(np.append(True, (np.diff(prefix) != 0) | (np.diff(slot) != 0)))
+        offsets = pa.array(np.append(starts, len(prefix)).astype(np.int32))
+        spots = places[prefix[starts]]
+        texts = [known.take(pa.array(ids[spots + i])) for i in range(k)]
+        yield pa.Table.from_arrays(
+            [
+                pa.array([lang] * len(starts)),
+                pc.binary_join_element_wise(*texts, " ") if k > 1 else texts[0],
+                pa.array(slot[starts].astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, known.take(pa.array(then))),
+                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+            ],
+            names=["lang", "prefix", "slice", "words", "counts"],
+        )
 
 
+#: One stripe or part of one.
 STRIPE = "lang string, prefix string, slice int, words array<string>, counts array<long>"
 
 
 def _merged(rows):
-    """Stripes of one prefix and slice put together, word by word; rows in the order of these."""
+    """(first row, place of each count's stripe, word, words, counts): stripes of one prefix and slice put together, word by word."""
     import pyarrow as pa
 
     rows = rows.combine_chunks()
@@ -221,79 +231,70 @@ def _merged(rows):
     changed[0] = True
     for name in ("lang", "prefix", "slice"):
         column = rows.column(name).combine_chunks()
-        code = column.dictionary_encode().indices.to_numpy() if name != "slice" else column.to_numpy()
+        code = column.to_numpy() if name == "slice" else column.dictionary_encode().indices.to_numpy()
         changed[1:] |= code[1:] != code[:-1]
-    first = np.flatnonzero(changed)
     words = rows.column("words").combine_chunks()
-    lengths = np.diff(words.offsets.to_numpy())
-    run = np.repeat(np.cumsum(changed) - 1, lengths)
-    coded = words.flatten().dictionary_encode()
-    then = coded.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
-    size = len(coded.dictionary) + 1
-    keys = run * size + then
+    run = np.repeat(np.cumsum(changed) - 1, np.diff(words.offsets.to_numpy()))
+    coded_words = words.flatten().dictionary_encode()
+    size = len(coded_words.dictionary)
+    keys = run * size + coded_words.indices.to_numpy()
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     counts = np.add.reduceat(rows.column("counts").combine_chunks().flatten().to_numpy()[order], starts)
-    run, then = keys[starts] // size, keys[starts] % size
-    return rows.take(pa.array(first)), run, then, coded.dictionary, counts
+    return rows.take(pa.array(np.flatnonzero(changed))), keys[starts] // size, keys[starts] % size, coded_words.dictionary, counts
 
 
-def merge_stripes(least: int, batches: Iterator) -> Iterator:
-    """Whole stripes from parts that come sorted: (lang, prefix, slice, total, words, counts), with words of `least` or more."""
+def merge_stripes(least: int, batches: Iterator, at_once: int = 20_000) -> Iterator:
+    """Whole stripes from parts that come sorted, with the words of `least` or more; those without such a word are left out."""
     import pyarrow as pa
 
-    held = None
+    def table(head, run, then, known, counts):
+        offsets = np.append(0, np.cumsum(np.bincount(run, minlength=len(head)))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), v) for v in (known.take(pa.array(then)), pa.array(counts))]
+        return pa.Table.from_arrays([*(head.column(c) for c in ("lang", "prefix", "slice")), *lists], names=["lang", "prefix", "slice", "words", "counts"])
 
-    def out(head, run, then, known, counts):
-        kept = (then > 0) & (counts >= least)
-        totals = np.add.reduceat(counts, np.flatnonzero(np.append(True, run[1:] != run[:-1])))
-        offsets = np.append(0, np.cumsum(np.bincount(run[kept], minlength=len(head)))).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), v) for v in (known.take(pa.array(then[kept] - 1)), pa.array(counts[kept]))]
-        table = pa.Table.from_arrays(
-            [*(head.column(c) for c in ("lang", "prefix", "slice")), pa.array(totals), *lists], names=["lang", "prefix", "slice", "total", "words", "counts"]
-        )
-        return table.to_batches(max_chunksize=20_000)
+    def whole(head, run, then, known, counts):
+        kept = counts >= least
+        rows, run = np.unique(run[kept], return_inverse=True)
+        return table(head.take(pa.array(rows)), run, then[kept], known, counts[kept]).to_batches(max_chunksize=20_000)
 
+    held = []
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if not len(rows):
-            continue
-        head, run, then, known, counts = _merged(pa.concat_tables([held, rows]) if held is not None else rows)
-        # the last stripe may go on in the next batch
-        last = len(head) - 1
-        own = run == last
-        one = pa.array([0, int(own.sum())], pa.int32())
-        held = pa.Table.from_arrays(
-            [
-                *(head.column(c).slice(last) for c in ("lang", "prefix", "slice")),
-                pa.ListArray.from_arrays(one, known.take(pa.array(then[own] - 1, mask=then[own] == 0))),
-                pa.ListArray.from_arrays(one, pa.array(counts[own])),
-            ],
-            schema=rows.schema,
-        )
-        if last:
-            yield from out(head.slice(0, last), run[~own], then[~own], known, counts[~own])
-    if held is not None:
-        yield from out(*_merged(held))
-
-
-def stripes(docs: DataFrame, k: int, frequent: DataFrame, slices: dict[bytes, int], least: int = LEAST) -> DataFrame:
-    """Merged stripes of the prefixes of k words that are in `frequent` (lang, phrase), written."""
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+        if sum(map(len, held)) >= at_once:
+            head, run, then, known, counts = _merged(pa.concat_tables(held))
+            # the last stripe may go on in the next batch
+            last = len(head) - 1
+            own = run == last
+            yield from whole(head.slice(0, last), run[~own], then[~own], known, counts[~own])
+            held = [table(head.slice(last), run[own] - last, then[own], known, counts[own])]
+    if held:
+        yield from whole(*_merged(pa.concat_tables(held)))
+
+
+def stripes(docs: DataFrame, sizes: tuple[int, ...], frequent: DataFrame, slices: dict[str, int], least: int = LEAST) -> DataFrame:
+    """(lang, prefix, words, phrase, a): what merged stripes of prefixes of `sizes` words count `least` times or more.
+
+    frequent: (lang, phrase), all runs of sizes[0] words that occur so often. `words` are those of the phrase.
+    """
     spark = docs.sparkSession
     shared, size = spark.sparkContext.broadcast((frequent_filter(frequent), slices)), BLOCK
 
     def count(batches: Iterator) -> Iterator:
-        for lang, words in _blocks(batches, size):
-            table = block_stripes(lang, words, k, *shared.value)
-            if table is not None:
+        for lang, text in _blocks(batches, size):
+            for table in block_stripes(lang, text, sizes, *shared.value):
                 yield from table.to_batches(max_chunksize=20_000)
 
     key = ["lang", "prefix", "slice"]
-    with arrow_batches(spark, 256):
+    with arrow_batches(spark, 1024):
         parts = docs.select("lang", "text").mapInArrow(count, STRIPE)
         dealt = parts.repartition(*key).sortWithinPartitions(*key)
-        return materialize(dealt.mapInArrow(partial(merge_stripes, least), STRIPE.replace("words", "total long, words")), f"stripes{k}")
+        whole = materialize(dealt.mapInArrow(partial(merge_stripes, least), STRIPE), f"stripes{sizes[0]}")
+    one = whole.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))
+    length = F.length("prefix") - F.length(F.replace("prefix", F.lit(" "))) + 2
+    return one.select("lang", "prefix", length.alias("words"), F.concat_ws(" ", "prefix", "e.words").alias("phrase"), F.col("e.counts").alias("a"))
 
 
 def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -302,32 +303,26 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     f and a are `least` or more. longer: the largest count of a phrase with one word more that holds the candidate.
     """
     spark = docs.sparkSession
-    with arrow_batches(spark, 256):
+    with arrow_batches(spark, 1024):
         found = docs.select("lang", "text").mapInArrow(partial(_count_words, BLOCK), "lang string, phrase string, f long")
         found = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(f"f >= {least} OR phrase IS NULL")
         found = materialize(found, "words")
-        sizes, words = found.filter("phrase IS NULL").select("lang", F.col("f").alias("n")), found.filter("phrase IS NOT NULL")
-        total = sizes.agg(F.sum("n")).first()[0] or 0
-        # a word with a SLICES-th of all words or more: at most SLICES rows
-        share = F.ceil(F.col("f").cast("double") * SLICES / max(total, 1)).cast("long")
-        heavy = words.filter(F.col("f").cast("double") * SLICES >= total).select("phrase", share.alias("slices"))
-        slices = {r.phrase.encode(): r.slices for r in heavy.groupBy("phrase").agg(F.max("slices").alias("slices")).collect()}
-        totals, longer, frequent = [], [], words.select("lang", "phrase")
-        for k in range(1, LONGEST):
-            found = stripes(docs, k, frequent, slices, least)
-            totals.append(found.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("f")).filter(f"f >= {least}"))
-            more = found.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e")).select(
-                "lang", "prefix", F.concat_ws(" ", "prefix", "e.words").alias("phrase"), F.lit(k + 1).alias("words"), F.col("e.counts").alias("a")
-            )
-            longer.append(more)
-            frequent = more.select("lang", "phrase")
-    known = longer[0].unionByName(longer[1]).unionByName(longer[2])
+    # the stripe of the prefix without words, and its sum
+    sizes, words = found.filter("phrase IS NULL").select("lang", F.col("f").alias("n")), found.filter("phrase IS NOT NULL")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # a word with a SLICES-th of all words or more: at most SLICES rows
+    share = F.ceil(F.col("f").cast("double") * SLICES / max(total, 1)).cast("long")
+    heavy = words.filter(F.col("f").cast("double") * SLICES >= total).select("phrase", share.alias("slices"))
+    slices = {r.phrase: r.slices for r in heavy.groupBy("phrase").agg(F.max("slices").alias("slices")).collect()}
+    two = stripes(docs, (1,), words.select("lang", "phrase"), slices, least)
+    more = stripes(docs, tuple(range(2, LONGEST)), two.select("lang", "phrase"), slices, least)
+    known = two.unionByName(more)
+    totals = words.select("lang", "phrase", "f").unionByName(known.filter(F.col("words") < LONGEST).select("lang", "phrase", F.col("a").alias("f")))
     # without its last word: the prefix of its stripe; without its first: what is behind the first blank
     tail = F.expr("substring(phrase, instr(phrase, ' ') + 1)")
     holders = known.filter("words > 2").select("lang", F.explode(F.array("prefix", tail)).alias("phrase"), "a")
     largest = holders.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    candidates = known.drop("prefix").join(largest, ["lang", "phrase"], "left")
-    return sizes, totals[0].unionByName(totals[1]).unionByName(totals[2]), candidates
+    return sizes, totals, known.drop("prefix").join(largest, ["lang", "phrase"], "left")
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:

@@ -56,7 +56,7 @@ def corpus(seed, n=400):
     return rows + [("en", None), (None, ""), ("fr", "..."), ("fr", " \t"), ("de", "the of " * 4000)] + [("en", "Same text of the new york city a")] * 60
 
 
-@pytest.mark.parametrize("least,top,block,slices", [(30, 2000, 1_000_000, 4096), (5, 7, 100, 3), (2, 30, 1, 4096)])
+@pytest.mark.parametrize("least,top,block,slices", [(30, 2000, 12_000_000, 4096), (5, 7, 100, 3), (2, 30, 1, 4096)])
 def test_phrases(spark, monkeypatch, least, top, block, slices):
     monkeypatch.setattr(collocations, "BLOCK", block)
     monkeypatch.setattr(collocations, "SLICES", slices)
