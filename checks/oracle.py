@@ -629,6 +629,23 @@ COMPARISON = {
         SELECT grp, round(distance, 6) AS distance, 'mahalanobis' AS method_used,
                round(exp(-distance), 6) AS similarity,
                CAST(row_number() OVER (ORDER BY exp(-distance) DESC, grp) AS INT) AS rank FROM d""",
+    "compare_all_datasets": f"""
+        WITH {fit_cte("lineitem", LINE_FEATURES)},
+        {scaled_cte("lineitem", "l_shipmode AS grp, l_suppkey AS name", LINE_FEATURES)},
+        u AS (SELECT CAST(name AS VARCHAR) AS dataset_name, avg({Q}) AS q, avg({E}) AS e FROM scaled WHERE name IS NOT NULL GROUP BY name),
+        g AS (SELECT grp, avg({Q}) AS q, avg({E}) AS e, stddev_samp({Q}) AS sq, stddev_samp({E}) AS se, covar_samp({Q}, {Q}) AS cqq,
+                     covar_samp({Q}, {E}) AS cqe, covar_samp({E}, {E}) AS cee FROM scaled WHERE grp IS NOT NULL GROUP BY grp),
+        d AS (SELECT dataset_name, grp, u.q AS uq, g.q AS gq, u.e AS ue, g.e AS ge, sq, se,
+                     sqrt((g.cee * (u.q - g.q) ** 2 - 2 * g.cqe * (u.q - g.q) * (u.e - g.e)
+                           + g.cqq * (u.e - g.e) ** 2) / (g.cqq * g.cee - g.cqe ** 2)) AS distance FROM u, g),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY dataset_name ORDER BY exp(-distance) DESC, grp) AS INT) AS rank FROM d),
+        x AS (SELECT *, (uq - gq) / (sq + 1e-10) AS zq, (ue - ge) / (se + 1e-10) AS ze FROM r WHERE rank <= 3),
+        y AS (SELECT *, abs(ze) * se > abs(zq) * sq AS second FROM x)
+        SELECT dataset_name, grp, round(distance, 6) AS distance, 'mahalanobis' AS method_used, round(exp(-distance), 6) AS similarity, rank,
+               CASE WHEN second THEN 1 ELSE 0 END AS feature_pos, CASE WHEN second THEN '{E}' ELSE '{Q}' END AS feature,
+               round(CASE WHEN second THEN ue ELSE uq END, 6) AS user_value, round(CASE WHEN second THEN ge ELSE gq END, 6) AS group_mean,
+               round(CASE WHEN second THEN ze ELSE zq END, 6) AS z_score,
+               round(CASE WHEN second THEN abs(ze) * se ELSE abs(zq) * sq END, 6) AS contribution FROM y""",
     "feature_diffs": f"WITH {DIFFS} SELECT {DIFF_COLUMNS} FROM diffs",
     "key_differences": f"""
         WITH {DIFFS}, r AS (SELECT *, CAST(row_number() OVER (

@@ -408,6 +408,18 @@ def q_key_differences(spark, sf):
     return rounded(C.key_differences(diffs, top_n=1))
 
 
+def _all_datasets(spark, sf):
+    lines = _lines(spark, sf)
+    return Comparison(lines, lines, D.LINE_FEATURES).compare_all_to_groups("l_shipmode", "l_suppkey", top_n_features=1)
+
+
+def q_compare_all_datasets(spark, sf):
+    # every supplier against every ship mode
+    report = _all_datasets(spark, sf)
+    first = report.key_differences.drop("rank").withColumnRenamed("pos", "feature_pos")
+    return rounded(report.scores.join(first, ["dataset_name", "grp"]))
+
+
 def _text_comparison(spark, sf) -> Comparison:
     master = D.text_features(D.documents(spark, sf), ["doc_id", "lang"])
     user = D.text_features(D.conversations(spark, sf), ["dataset_name"])

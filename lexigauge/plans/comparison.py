@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigauge.operators import compare as C
+from lexigauge.operators import compare_all as A
 from lexigauge.operators import moments as M
 from lexigauge.operators.wide_moments import wide_group_summary
 from lexigauge.session import materialize
@@ -31,6 +32,14 @@ class OverallReport:
     most_divergent_features: DataFrame
 
 
+@dataclass(frozen=True)
+class AllReport:
+    """`scores(dataset_name, grp, distance, method_used, similarity, rank)` and `key_differences` of the kept pairs."""
+
+    scores: DataFrame
+    key_differences: DataFrame
+
+
 def summary_of(master: DataFrame, group: str, features: list[str]) -> DataFrame:
     """Moments of all groups and of the whole master table, from one scan of it."""
     wide = len(features) > M.MAX_BUILTIN_FEATURES
@@ -95,6 +104,21 @@ class Comparison:
             C.ranked_groups(distances), details, C.key_differences(details, top_n_features)
         )
 
+    def compare_all_to_groups(
+        self,
+        group_column: str,
+        name_column: str = "dataset_name",
+        comparison_method: str = "mahalanobis",
+        top_n_groups: int = 3,
+        top_n_features: int = 3,
+    ) -> AllReport:
+        """Every dataset of the user table with its best groups, in one job; null groups and names are left out."""
+        groups = self.groups(group_column)
+        datasets = materialize(A.dataset_vectors(self.user, self.features, self.fit(), name_column), "datasets")
+        best = A.best_groups(groups, datasets, len(self.features), top_n_groups, comparison_method)
+        best = materialize(best, "best_groups")
+        return AllReport(best, A.top_differences(best, groups, datasets, self.features, top_n_features))
+
     def general_comparison(
         self,
         dataset_name: str | None = None,
