@@ -631,7 +631,7 @@ COMPARISON = {
                CAST(row_number() OVER (ORDER BY exp(-distance) DESC, grp) AS INT) AS rank FROM d""",
     "compare_all_datasets": f"""
         WITH {fit_cte("lineitem", LINE_FEATURES)},
-        {scaled_cte("lineitem", "l_shipmode AS grp, l_suppkey AS name", LINE_FEATURES)},
+        {scaled_cte("lineitem", "CAST(l_linenumber AS VARCHAR) AS grp, l_suppkey AS name", LINE_FEATURES)},
         u AS (SELECT CAST(name AS VARCHAR) AS dataset_name, avg({Q}) AS q, avg({E}) AS e FROM scaled WHERE name IS NOT NULL GROUP BY name),
         g AS (SELECT grp, avg({Q}) AS q, avg({E}) AS e, stddev_samp({Q}) AS sq, stddev_samp({E}) AS se, covar_samp({Q}, {Q}) AS cqq,
                      covar_samp({Q}, {E}) AS cqe, covar_samp({E}, {E}) AS cee FROM scaled WHERE grp IS NOT NULL GROUP BY grp),

@@ -410,11 +410,11 @@ def q_key_differences(spark, sf):
 
 def _all_datasets(spark, sf):
     lines = _lines(spark, sf)
-    return Comparison(lines, lines, D.LINE_FEATURES).compare_all_to_groups("l_shipmode", "l_suppkey", top_n_features=1)
+    return Comparison(lines, lines, D.LINE_FEATURES).compare_all_to_groups("l_linenumber", "l_suppkey", top_n_features=1)
 
 
 def q_compare_all_datasets(spark, sf):
-    # every supplier against every ship mode
+    # every supplier against every line number
     report = _all_datasets(spark, sf)
     first = report.key_differences.drop("rank").withColumnRenamed("pos", "feature_pos")
     return rounded(report.scores.join(first, ["dataset_name", "grp"]))
