@@ -29,7 +29,6 @@ from lexigauge.fixed_values import (
     WORD,
     WS,
 )
-from lexigauge.operators.language import FREQUENCY_FLOOR
 
 
 
@@ -256,10 +255,10 @@ lw AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+'))
 lv AS (SELECT lang, word, count(*) AS n FROM lw GROUP BY ALL),
 lg AS (SELECT lang, n, unnest({GRAMS}) AS gram FROM lv),
 lc AS (SELECT lang, gram, sum(n) AS n FROM lg GROUP BY ALL),
-lt AS (SELECT lang, sum(n) AS total FROM lc GROUP BY lang),
+lt AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM lc) AS total FROM lc GROUP BY lang),
 profile AS (
-  SELECT lang, gram, CAST(round(1000 * ln(n / total / {FREQUENCY_FLOOR}::DOUBLE)) AS BIGINT) AS weight
-  FROM lc JOIN lt USING (lang) WHERE n / total > {FREQUENCY_FLOOR}::DOUBLE)"""
+  SELECT lang, gram, CAST(round(1000 * ln((n + 1) / total)) AS BIGINT) AS weight FROM lc JOIN lt USING (lang)
+  UNION ALL SELECT lang, '', CAST(round(1000 * ln(1 / total)) AS BIGINT) FROM lt)"""
 
 TEXTS = {
     "lang_profile": f"WITH {LANG_PROFILE} SELECT lang, gram, weight FROM profile",
@@ -267,8 +266,11 @@ TEXTS = {
         WITH {LANG_PROFILE},
         dv AS (SELECT doc_id, word, count(*) AS n FROM lw GROUP BY ALL),
         dg AS (SELECT doc_id, n, unnest({GRAMS}) AS gram FROM dv),
-        score AS (SELECT doc_id, p.lang, sum(n * weight) AS score
-                  FROM dg JOIN profile p USING (gram) GROUP BY ALL),
+        known AS (SELECT DISTINCT gram FROM lc),
+        one AS (SELECT doc_id FROM dg JOIN known USING (gram) GROUP BY doc_id),
+        score AS (SELECT doc_id, u.lang, sum(n * coalesce(p.weight, u.weight)) AS score
+                  FROM dg JOIN one USING (doc_id) JOIN profile u ON u.gram = ''
+                  LEFT JOIN profile p ON p.gram = dg.gram AND p.lang = u.lang GROUP BY ALL),
         best AS (SELECT doc_id, lang FROM score
                  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
         SELECT d.doc_id, b.lang AS detected_lang,

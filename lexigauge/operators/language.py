@@ -1,9 +1,13 @@
 """Language detection from character n-gram frequencies learned from labelled texts.
 
 After Cavnar & Trenkle (1994): n-grams of 1 to 3 characters within words, padded with a
-blank at both ends. A text is scored per language by the sum of the log frequencies of its
-n-grams. Frequencies below a floor count as the floor, so a language's profile holds the
-n-grams above it only: at most 1 / floor of them, however large the training data.
+blank at both ends. A text is scored per language by the sum of the smoothed log frequencies
+of its n-grams: each n-gram known in any language counts once more than it was seen in each, so
+none is dropped and one that a language lacks has that language's default.
+
+A word's n-grams are the same wherever it stands, so every distinct word is scored once and texts look their
+words up. Tables within BROADCAST_BYTES are broadcast; beyond, rows are joined by a shuffle,
+the keys with a HOT_SHARE of all rows or more apart from the others.
 """
 
 from __future__ import annotations
@@ -12,11 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigauge.functions.text import analysis_language
-from lexigauge.session import broadcast_within
+from lexigauge.session import broadcast_within, materialize
 
-FREQUENCY_FLOOR = 1e-4
-WORD_FLOOR = 1e-5
-MAX_PROFILE_ROWS = 1_000_000  # broadcast limit: 100 languages at the floor above
+BROADCAST_BYTES = 128 << 20
+#: Bytes a broadcast row takes beside its numbers: a key of some letters and its place in a hash table.
+ROW_BYTES = 96
+#: Keys with such a share of all rows are hot; there are at most 1 / HOT_SHARE.
+HOT_SHARE = 1 / 4096
+#: Stands for the n-grams a language does not have.
+DEFAULT = ""
 
 
 def letter_words(text: Column) -> Column:
@@ -39,107 +47,134 @@ def _vocabulary(docs: DataFrame, text: str, keys: list[Column]) -> DataFrame:
     return words.filter(F.col("word").isNotNull()).groupBy(*names).agg(F.count("*").alias("n"))
 
 
-def fit_profile(
-    docs: DataFrame, text: str = "text", lang: str = "lang", floor: float = FREQUENCY_FLOOR
-) -> DataFrame:
-    """`(lang, gram, weight)`: 1000 ln(frequency / floor), rounded, for n-grams above the floor.
+def fit_profile(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """`(lang, gram, weight)`: 1000 ln((n + 1) / (total + kinds)), rounded, of every n-gram of a language.
 
-    Words are counted before their n-grams are taken, so the second step works on distinct
-    words. Weights are integers: sums of them do not depend on the order of rows.
+    `kinds` counts the different n-grams of all languages. A row with an empty `gram` has the
+    weight of those that the language lacks. Words are counted before their n-grams are taken, and
+    the counts are written, so texts are read once. Weights are integers: sums of them do not
+    depend on the order of rows.
     """
     labelled = docs.filter(F.col(lang).isNotNull())
     vocabulary = _vocabulary(labelled, text, [F.col(lang).alias("lang")])
-    counts = (
+    counts = materialize(
         vocabulary.select("lang", "n", F.explode_outer(word_grams(F.col("word"))).alias("gram"))
         .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-    )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    return (
-        counts.join(totals, "lang")
-        .filter(share > floor)
-        .select("lang", "gram", F.round(1000 * F.ln(share / floor)).cast("bigint").alias("weight"))
+        .agg(F.sum("n").alias("n")),
+        "gram_counts",
     )
+    kinds = counts.select("gram").distinct().agg(F.count("*")).scalar()
+    totals = counts.groupBy("lang").agg((F.sum("n") + F.first(kinds)).alias("total"))
+    unseen = totals.select("lang", F.lit(DEFAULT).alias("gram"), F.lit(0).cast("bigint").alias("n"), "total")
+    known = counts.join(totals, "lang").select("lang", "gram", "n", "total")
+    share = (F.col("n") + 1) / F.col("total")
+    return known.unionByName(unseen).select("lang", "gram", F.round(1000 * F.ln(share)).cast("bigint").alias("weight"))
 
 
-def profile_languages(profile: DataFrame) -> list[str]:
-    """The languages of a profile, in order. A handful of names, read by the driver."""
-    return [r[0] for r in profile.select("lang").distinct().orderBy("lang").collect()]
+def profile_languages(profile: DataFrame) -> list[tuple[str, int]]:
+    """The languages of a profile, in order, with their defaults. A handful of rows, read by the driver."""
+    return [(r.lang, r.weight) for r in profile.filter(F.col("gram") == DEFAULT).orderBy("lang").collect()]
 
 
-def _wide(profile: DataFrame, langs: list[str]) -> DataFrame:
-    """One row per n-gram with a weight `w0..` per language, 0 where it is below the floor."""
-    weights = profile.groupBy("gram").pivot("lang", langs).agg(F.first("weight"))
-    return weights.select(
-        "gram", *[F.coalesce(F.col(f"`{lang}`"), F.lit(0)).alias(f"w{i}") for i, lang in enumerate(langs)]
-    )
+def _wide(profile: DataFrame, langs: list[tuple[str, int]]) -> DataFrame:
+    """One row per n-gram with `w0..`: what each language gives it above its default."""
+    names = [lang for lang, _ in langs]
+    weights = profile.filter(F.col("gram") != DEFAULT).groupBy("gram").pivot("lang", names).agg(F.first("weight"))
+    above = [F.coalesce(F.col(f"`{lang}`") - F.lit(least), F.lit(0)).alias(f"w{i}") for i, (lang, least) in enumerate(langs)]
+    return weights.select("gram", *above)
 
 
-def frequent_words(
-    docs: DataFrame, profile: DataFrame, text: str = "text", floor: float = WORD_FLOOR
-) -> DataFrame:
-    """`(word, h0..)`: the summed weights of the words more frequent than the floor.
+def _fits(table: DataFrame, numbers: int) -> bool:
+    most = BROADCAST_BYTES // (ROW_BYTES + 8 * numbers)
+    return table.limit(most + 1).count() <= most
 
-    At most 1 / floor words can be. Scoring takes these sums as they are, which saves taking
-    the n-grams of most words of a text; the scores are the same.
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """`rows` left-joined to a written `table` by `key`: by broadcast if it fits, else without a hot key in one task.
+
+    hot: the keys, at most 1 / HOT_SHARE, that are broadcast with their values. Rows with such
+    a key are dealt by their hash in the shuffle for the others. A key is one or more letters or blanks.
+    """
+    values = [c for c in table.columns if c != key]
+    if _fits(table, len(values)):
+        return rows.join(F.broadcast(table), key, "left")
+    few = broadcast_within(materialize(table.join(F.broadcast(hot), key).withColumn("_hot", F.lit(True)), "hot"), int(1 / HOT_SHARE))
+    first = rows.join(few, key, "left")
+    # no key is a number, so these meet nothing
+    spread = F.when(F.col("_hot"), F.xxhash64(*rows.columns).cast("string")).otherwise(F.col(key))
+    rest = table.select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_{c}") for c in values])
+    met = first.withColumn("_cold", spread).join(rest, "_cold", "left")
+    return met.select(*rows.columns, *[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) for c in values])
+
+
+def word_weights(docs: DataFrame, profile: DataFrame, text: str = "text") -> DataFrame:
+    """`(word, n, n_grams, n_known, h0..)` of every distinct word of `docs`, written.
+
+    n: how often it stands in them; h0..: the summed weights of its n-grams above the defaults of the languages, in
+    the order of `profile_languages`; n_known: its n-grams that any language has.
     """
     langs = profile_languages(profile)
-    vocabulary = _vocabulary(docs, text, [])
-    total = vocabulary.agg(F.sum("n")).scalar()
-    kept = vocabulary.filter(F.col("n") > floor * total).select("word")
-    pieces = kept.select("word", F.explode_outer(word_grams(F.col("word"))).alias("gram"))
-    known = broadcast_within(_wide(profile, langs), MAX_PROFILE_ROWS)
-    sums = [F.sum(f"w{i}").alias(f"h{i}") for i in range(len(langs))]
-    return pieces.join(known, "gram", "left").groupBy("word").agg(*sums)
+    wide = materialize(_wide(profile, langs), "wide_profile")
+    vocabulary = materialize(_vocabulary(docs, text, []), "vocabulary")
+    pieces = vocabulary.select("word", "n", F.explode_outer(word_grams(F.col("word"))).alias("gram"))
+    # n-grams that stand in a large part of all words; with 1 / HOT_SHARE letters or fewer there can't be more
+    per_gram = pieces.groupBy("gram").agg(F.count("*").alias("k"))
+    total = pieces.agg(F.count("*")).scalar()
+    hot = per_gram.filter(F.col("k") >= HOT_SHARE * total).select("gram")
+    known = look_up(pieces, wide.withColumn("known", F.lit(1)), "gram", hot)
+    sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"h{i}") for i in range(len(langs))]
+    summed = known.groupBy("word").agg(
+        F.max("n").alias("n"), F.count("*").alias("n_grams"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_known"), *sums
+    )
+    return materialize(summed, "word_weights")
 
 
 def language_scores(
-    docs: DataFrame, profile: DataFrame, key: str, text: str = "text", frequent: DataFrame | None = None
+    docs: DataFrame, profile: DataFrame, key: str, text: str = "text", words: DataFrame | None = None
 ) -> DataFrame:
     """`(key, scores)`: an array of `(lang, score)`, scores null without any known n-gram.
 
-    `frequent` is a table from `frequent_words` over this profile. All words of a text are
-    looked up and summed within its task, and what is shuffled is one row per text.
+    `profile` should be a written table; `words` is the table of `word_weights` over these or
+    more texts, made here if none is given.
     """
     langs = profile_languages(profile)
+    table = word_weights(docs, profile, text) if words is None else words
     places = range(len(langs))
+    sums = ["n_grams", "n_known", *[f"h{i}" for i in places]]
     rows = docs.select(key, F.explode_outer(letter_words(F.col(text))).alias("word"))
-    if frequent is None:
-        rows = rows.select(key, F.explode_outer(word_grams(F.col("word"))).alias("gram"))
-        weight = {i: F.col(f"w{i}") for i in places}
+    if _fits(table, len(sums)):
+        # all words of a text are looked up and summed within its task
+        found = rows.join(F.broadcast(table.drop("n")), "word", "left")
+        summed = found.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
     else:
-        hits = broadcast_within(frequent.withColumn("hit", F.lit(True)), MAX_PROFILE_ROWS)
-        rest = F.when(F.col("hit").isNull(), word_grams(F.col("word")))
-        # A frequent word leaves one row without an n-gram, any other word one per n-gram.
-        rows = rows.join(hits, "word", "left").select(
-            key, *[f"h{i}" for i in places], F.explode_outer(rest).alias("gram")
-        )
-        weight = {i: F.coalesce(F.col(f"h{i}"), F.col(f"w{i}")) for i in places}
-    known = broadcast_within(_wide(profile, langs), MAX_PROFILE_ROWS)
-    summed = (
-        rows.join(known, "gram", "left")
-        .groupBy(key)
-        .agg(*[F.sum(weight[i]).alias(f"s{i}") for i in places])
-    )
-    pairs = [F.struct(F.lit(langs[i]).alias("lang"), F.col(f"s{i}").alias("score")) for i in places]
-    return summed.select(key, F.array(*pairs).alias("scores"))
+        total = table.agg(F.sum("n")).scalar()
+        hot = table.filter(F.col("n") >= HOT_SHARE * total).select("word")
+        # texts without words keep a row
+        counted = rows.groupBy(key, "word").agg(F.count("*").alias("times"))
+        found = look_up(counted, table.drop("n"), "word", hot)
+        summed = found.groupBy(key).agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums])
+    score = [
+        F.when(F.col("n_known") > 0, F.col(f"h{i}") + F.col("n_grams") * F.lit(least)).cast("bigint")
+        for i, (_, least) in enumerate(langs)
+    ]
+    pairs = [F.struct(F.lit(lang).alias("lang"), s.alias("score")) for (lang, _), s in zip(langs, score)]
+    typed = F.array(*pairs) if pairs else F.array().cast("array<struct<lang:string,score:bigint>>")
+    return summed.select(key, typed.alias("scores"))
 
 
 def detect_language(
-    docs: DataFrame, profile: DataFrame, key: str, text: str = "text", frequent: DataFrame | None = None
+    docs: DataFrame, profile: DataFrame, key: str, text: str = "text", words: DataFrame | None = None
 ) -> DataFrame:
     """`(key, detected_lang, analysis_lang)`: best-scoring language, first by name on a tie.
 
-    Both are null for a text that shares no n-gram with any profile, such as one without
-    letters. `profile` and `frequent` should be written tables, as `session.materialize`
-    returns.
+    Both are null for a text that shares no n-gram with any language, such as one without
+    letters.
     """
     ranked = F.transform(
         F.filter("scores", lambda s: s["score"].isNotNull()),
         lambda s: F.struct((-s["score"]).alias("cost"), s["lang"].alias("lang")),
     )
-    found = language_scores(docs, profile, key, text, frequent).select(
+    found = language_scores(docs, profile, key, text, words).select(
         key, F.array_min(ranked)["lang"].alias("detected_lang")
     )
     routed = F.when(F.col("detected_lang").isNotNull(), analysis_language(F.col("detected_lang")))
