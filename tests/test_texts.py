@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -159,10 +160,44 @@ def test_document_grain_has_no_shuffle_and_no_python(spark):
 
 def test_chunk_steps_are_not_repeated(spark):
     df = T.explode_chunks(T.chunk_texts(texts(spark, [("a", "en")]), 500), ["doc_id"])
-    assert optimized(df).count("regexp_extract_all") == 1
+    plan = optimized(df)
+    # once the runs up to a period, once the blocks that pieces are taken from
+    assert plan.count("[^.]*") == 1 and plan.count("(?s).{1,") == 1 and plan.count("regexp_extract_all") == 2
 
 
 def test_splits_are_not_repeated(spark):
     df = texts(spark, [("a b. c", "en")])
     assert optimized(T.word_table(df, ["doc_id"])).count("regexp_extract_all") == 1
     assert optimized(T.sentence_table(df, ["doc_id"])).count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("limit", [1, 7, 60, 5000])
+def test_long_texts_are_cut_as_short_ones(spark, limit):
+    """More runs, pieces and blocks of text than a block of the fold holds."""
+    rnd = random.Random(limit)
+    made = ["".join(rnd.choice(["ab", "é", ".", " ", "\n", "😀", "word "]) for _ in range(n)) for n in (0, 1, 9, 900, 12_000)]
+    made += ["." * 3000, "x" * 3000, ".x" * 2000 + "." * 50, "x" * 1500 + "." + "y" * 1500]
+    rows = T.chunk_texts(texts(spark, [(t, "en") for t in made]), limit).select("text", "chunks").collect()
+    for r in rows:
+        want = [r.text] if len(r.text) <= limit else packed(period_pieces(r.text, limit), limit)
+        assert r.chunks == want
+
+
+@pytest.mark.parametrize("split", ["period", "sentence"])
+def test_chunking_is_linear(spark, split):
+    rnd = random.Random(0)
+    text = "".join(rnd.choice(["the cat sat on a mat", "word ", "x. ", "é und. ", "\n"]) for _ in range(600_000))
+
+    def seconds(n):
+        df = texts(spark, [(text[:n], "en")]).cache()
+        df.count()
+        taken = []
+        for _ in range(2):
+            started = time.perf_counter()
+            T.explode_chunks(T.chunk_texts(df, 500, split=split), ["doc_id"]).agg(F.sum(F.length("text"))).collect()
+            taken.append(time.perf_counter() - started)
+        df.unpersist()
+        return min(taken)
+
+    seconds(500_000)
+    assert seconds(4_000_000) <= 2.5 * seconds(2_000_000)
