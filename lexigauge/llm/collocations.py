@@ -203,7 +203,7 @@ def block_stripes(lang: str, text: bytes, sizes: tuple[int, ...], filter_: np.nd
         order = np.lexsort((slot, prefix))
         prefix, then, slot, counts = prefix[order], then[order], slot[order], counts[order]
         starts = np.flatnonzero(np.append(True, (np.diff(prefix) != 0) | (np.diff(slot) != 0)))
-        offsets = pa.array(np.append(starts, len(prefix)).astype(np.int32))
+        offsets = np.append(starts, len(prefix)).astype(np.int32)
         spots = places[prefix[starts]]
         texts = [known.take(pa.array(ids[spots + i])) for i in range(k)]
         yield pa.Table.from_arrays(
@@ -211,20 +211,30 @@ def block_stripes(lang: str, text: bytes, sizes: tuple[int, ...], filter_: np.nd
                 pa.array([lang] * len(starts)),
                 pc.binary_join_element_wise(*texts, " ") if k > 1 else texts[0],
                 pa.array(slot[starts].astype(np.int32)),
-                pa.ListArray.from_arrays(offsets, known.take(pa.array(then))),
-                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+                *_packed(offsets, known.take(pa.array(then)), counts),
             ],
             names=["lang", "prefix", "slice", "words", "counts"],
         )
 
 
-#: One stripe or part of one.
+#: A part of a stripe on its way: the words in one text, the counts as bytes.
+PART = "lang string, prefix string, slice int, words string, counts binary"
 STRIPE = "lang string, prefix string, slice int, words array<string>, counts array<long>"
 
 
+def _packed(offsets: np.ndarray, words, counts: np.ndarray) -> list:
+    """The words and counts of stripes as columns of PART."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    data = [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(counts.astype("<i8"))]
+    return [pc.binary_join(pa.ListArray.from_arrays(offsets, words), " "), pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, data)]
+
+
 def _merged(rows):
     """(first row, place of each count's stripe, word, words, counts): stripes of one prefix and slice put together, word by word."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     rows = rows.combine_chunks()
     changed = np.zeros(len(rows), bool)
@@ -233,7 +243,7 @@ def _merged(rows):
         column = rows.column(name).combine_chunks()
         code = column.to_numpy() if name == "slice" else column.dictionary_encode().indices.to_numpy()
         changed[1:] |= code[1:] != code[:-1]
-    words = rows.column("words").combine_chunks()
+    words = pc.split_pattern(rows.column("words").combine_chunks(), " ")
     run = np.repeat(np.cumsum(changed) - 1, np.diff(words.offsets.to_numpy()))
     coded_words = words.flatten().dictionary_encode()
     size = len(coded_words.dictionary)
@@ -241,7 +251,7 @@ def _merged(rows):
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    counts = np.add.reduceat(rows.column("counts").combine_chunks().flatten().to_numpy()[order], starts)
+    counts = np.add.reduceat(np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<i8")[order], starts)
     return rows.take(pa.array(np.flatnonzero(changed))), keys[starts] // size, keys[starts] % size, coded_words.dictionary, counts
 
 
@@ -249,16 +259,17 @@ def merge_stripes(least: int, batches: Iterator, at_once: int = 20_000) -> Itera
     """Whole stripes from parts that come sorted, with the words of `least` or more; those without such a word are left out."""
     import pyarrow as pa
 
-    def table(head, run, then, known, counts):
-        offsets = np.append(0, np.cumsum(np.bincount(run, minlength=len(head)))).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), v) for v in (known.take(pa.array(then)), pa.array(counts))]
-        return pa.Table.from_arrays([*(head.column(c) for c in ("lang", "prefix", "slice")), *lists], names=["lang", "prefix", "slice", "words", "counts"])
+    def offsets(head, run):
+        return np.append(0, np.cumsum(np.bincount(run, minlength=len(head)))).astype(np.int32)
 
     def whole(head, run, then, known, counts):
         kept = counts >= least
         rows, run = np.unique(run[kept], return_inverse=True)
-        return table(head.take(pa.array(rows)), run, then[kept], known, counts[kept]).to_batches(max_chunksize=20_000)
+        head, at = head.take(pa.array(rows)), pa.array(offsets(rows, run))
+        lists = [pa.ListArray.from_arrays(at, v) for v in (known.take(pa.array(then[kept])), pa.array(counts[kept]))]
+        return pa.Table.from_arrays([*(head.column(c) for c in ("lang", "prefix", "slice")), *lists], names=names).to_batches(max_chunksize=20_000)
 
+    names = ["lang", "prefix", "slice", "words", "counts"]
     held = []
     for batch in batches:
         if batch.num_rows:
@@ -269,7 +280,8 @@ def merge_stripes(least: int, batches: Iterator, at_once: int = 20_000) -> Itera
             last = len(head) - 1
             own = run == last
             yield from whole(head.slice(0, last), run[~own], then[~own], known, counts[~own])
-            held = [table(head.slice(last), run[own] - last, then[own], known, counts[own])]
+            part = _packed(offsets(head.slice(last), run[own] - last), known.take(pa.array(then[own])), counts[own])
+            held = [pa.Table.from_arrays([*(head.slice(last).column(c) for c in names[:3]), *part], names=names)]
     if held:
         yield from whole(*_merged(pa.concat_tables(held)))
 
@@ -289,7 +301,7 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], frequent: DataFrame, slices
 
     key = ["lang", "prefix", "slice"]
     with arrow_batches(spark, 1024):
-        parts = docs.select("lang", "text").mapInArrow(count, STRIPE)
+        parts = docs.select("lang", "text").mapInArrow(count, PART)
         dealt = parts.repartition(*key).sortWithinPartitions(*key)
         whole = materialize(dealt.mapInArrow(partial(merge_stripes, least), STRIPE), f"stripes{sizes[0]}")
     one = whole.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))

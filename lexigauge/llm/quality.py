@@ -37,15 +37,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import broadcast_within, materialize
 from .common import arrow_batches, arrow_rows, arrow_schema, free_name
 
 ORDER = 5
 #: Bytes of a character in a gram: a code point needs 21 bits.
 WIDE = 3
+#: Bits of a code point in a gram that is counted as one number: 64 bits hold ORDER of them.
+LOW = 12
 UNIT = 1_000_000
 FOLDS = 2
 MODEL_ENTRIES = 1 << 23
+#: Rows of a language or a model each that are broadcast; more are joined by a shuffle.
+MODELS = 100_000
 #: Characters a task counts at once, and scores at once.
 COUNT_AT_ONCE, SCORE_AT_ONCE = 4_000_000, 1_000_000
 #: Bytes of a text that are split into words at once.
@@ -160,25 +164,42 @@ def _texts(batch, folds: int, ahead: int):
         yield _key(lang, text, folds, ahead), text
 
 
-def _packed(points: np.ndarray, at: np.ndarray):
-    """Grams as bytes, WIDE for each character."""
+def _packed(grams: np.ndarray):
+    """Grams, a row of code points each, as bytes, WIDE for each character."""
     import pyarrow as pa
 
-    three = points.view(np.uint8).reshape(-1, 4)[:, :WIDE]
-    data = np.ascontiguousarray(three[at[:, None] + np.arange(ORDER)])
-    offsets = np.arange(len(at) + 1, dtype=np.int32) * (ORDER * WIDE)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    data = np.ascontiguousarray(grams.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :WIDE].copy()
+    offsets = np.arange(len(grams) + 1, dtype=np.int32) * (ORDER * WIDE)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _distinct(points: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The grams at `at` and how often each occurs.
+
+    Grams of low code points are sorted as numbers, the others by their hashes; a gram is one or the other.
+    """
+    high = np.append(0, np.cumsum(points >> LOW))
+    low = high[at + ORDER] == high[at]
+    number = np.zeros(int(low.sum()), np.uint64)
+    for i in range(ORDER):
+        number = (number << np.uint64(LOW)) | points[at[low] + i]
+    found, n = np.unique(number, return_counts=True)
+    shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(LOW)
+    yield (found[:, None] >> shifts) & np.uint64((1 << LOW) - 1), n
+    rest = at[~low]
+    if len(rest):
+        _, first, n = np.unique(h[~low], return_index=True, return_counts=True)
+        yield points[rest[first][:, None] + np.arange(ORDER)], n
 
 
 def _counted(held: _Held) -> Iterator:
     import pyarrow as pa
 
     for model, points, at, h, _, _ in held.grams():
-        _, first, n = np.unique(h, return_index=True, return_counts=True)
-        for a in range(0, len(first), 100_000):
-            some = slice(a, a + 100_000)
-            grams = _packed(points, at[first[some]])
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(grams)), grams, pa.array(n[some].astype(np.int64))], names=["model", "gram", "n"])
+        for grams, n in _distinct(points, at, h):
+            for a in range(0, len(grams), 100_000):
+                some = _packed(grams[a : a + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(some)), some, pa.array(n[a : a + 100_000].astype(np.int64))], names=["model", "gram", "n"])
 
 
 def _count(folds: int, batches: Iterator) -> Iterator:
@@ -206,7 +227,7 @@ def gram_counts(docs: DataFrame, folds: int) -> list[DataFrame]:
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """(model, d1, d2, d3) of one order from its counts of counts; half the count where these give none."""
+    """(model, d1, d2, d3) of one order from its counts of counts, written; half the count where these give none."""
     n = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.expr("n1 / (n1 + 2.0D * n2)")
 
@@ -218,7 +239,9 @@ def discounts(counts: DataFrame) -> DataFrame:
     found = counts.groupBy("model").agg(*n)
     # the divisions are only looked at where all counts are above 0
     safe = found.select("model", *(F.when(F.least("n1", "n2", "n3", "n4") > 0, F.col(f"n{i}")).alias(f"n{i}") for i in (1, 2, 3, 4)))
-    return safe.select("model", *(F.coalesce(d(i), F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)))
+    found = safe.select("model", *(F.coalesce(d(i), F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)))
+    # a row a model: broadcast, as a shuffle by the model would deal all grams to as many tasks
+    return broadcast_within(materialize(found, "discounts"), MODELS)
 
 
 @dataclass
@@ -235,7 +258,7 @@ def fit(docs: DataFrame, folds: int = 1) -> Model:
     counts = gram_counts(docs, folds)
     millionths = lambda c: F.round(F.log(c) * UNIT).cast("int")
     known = counts[0].groupBy("model").agg((1.0 / (F.count("*") + 1)).alias("p"))
-    lower = known.select("model", F.lit(b"").alias("gram"), "p")
+    lower = materialize(known.select("model", F.lit(b"").alias("gram"), "p"), "p0")
     probs, weights = [lower], []
     for k, own in enumerate(counts, 1):
         grams = own.join(discounts(own), "model").withColumn("context", F.expr(f"substring(gram, 1, {WIDE * (k - 1)})"))
@@ -258,17 +281,25 @@ def fit(docs: DataFrame, folds: int = 1) -> Model:
 
 
 class Arrays:
-    """Sorted hashes and the value of each."""
+    """Sorted hashes and the value of each; hashes are even, so their first bits tell about where to look."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys, self.values = keys, values
+        bits = max(len(keys), 1).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        # behind all keys stands one that ends each search
+        self.keys, self.values = np.append(keys, ~np.uint64(0)), np.append(values, np.int32(0)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of hashes, and which of them are known."""
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.values[at].astype(np.int64), self.keys[at] == h
+        at = self.starts[h >> self.shift]
+        found = self.keys[at]
+        left = np.flatnonzero(found < h)
+        while len(left):
+            at[left] += 1
+            found[left] = self.keys[at[left]]
+            left = left[found[left] < h[left]]
+        return self.values[at], (found == h) & (at < len(self.keys) - 1)
 
 
 def sorted_arrays(table: DataFrame, value: str) -> dict[str, Arrays]:
@@ -481,6 +512,7 @@ def judge(docs: DataFrame, model: Model | None = None) -> DataFrame:
     log_perplexity = F.try_divide(-F.col("log_p"), F.col("n_grams") * UNIT)
     rows = measured.select(F.struct(*measured.columns).alias("row"), F.coalesce("lang", F.lit("und")).alias("lang"), failed.alias("base_failed"), log_perplexity.alias("log_perplexity"))
     band = bands(rows.filter("NOT base_failed AND log_perplexity IS NOT NULL"))
+    band = broadcast_within(materialize(band, "bands"), MODELS)
     reach = WIDTH * F.sqrt(F.pow("deviation", F.lit(2)) + F.try_divide(F.lit((1000 * SPREAD) ** 2), F.col("row.n_grams")))
     outside = F.coalesce(F.abs(F.col("log_perplexity") * 1000 - F.col("middle")) > reach, F.lit(False))
     kept = ~F.col("base_failed") & ~outside
