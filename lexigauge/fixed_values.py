@@ -140,3 +140,15 @@ TEMPLATE_COLUMNS = ["dataset_name"] + FEATURE_COLUMNS
 
 # --- Fixed values: comparison constants ---
 STD_GUARD = 1e-10  # added to a standard deviation before dividing by it
+
+# Headings and line formats of the reports.
+GROUP_HEADING = "Top Statistical Matches"
+GROUP_LINE = "%s: %.1f%%"
+DIFFERENCES_HEADING = "Key Differences vs "
+DIFFERENCE_LINE = "%s: User=%.2f, Group=%.2f (Z=%.2f)"
+OVERALL_HEADING = "Overall Statistical Comparison"
+MASTER_MEANS = "Master Data Means: "
+USER_MEANS = "User Data Means: "
+MEAN_ENTRY = "%s=%.2f"
+DIVERGENT_HEADING = "Most Divergent Features"
+DIVERGENT_LINE = "%s: User=%.2f vs Master=%.2f±%.2f (Z=%.2f, Similarity=%.1f%%)"

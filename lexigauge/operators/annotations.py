@@ -41,24 +41,32 @@ def max_arc_length(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return arcs.groupBy(*keys).agg(F.coalesce(longest, F.lit(0.0)).alias("avg_max_arc_length"))
 
 
-def label_maps(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """`(keys, pos, ner, dependency_stats)` as maps from label to count, in one scan.
+_LABELS = {"pos": "pos", "ner": "ner", "dep": "dependency_stats"}
 
-    The maps are as large as the tag sets, whatever the number of tokens: tokens are counted
-    per (key, kind, label) before anything is collected.
+
+def token_profile(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """`(keys, pos, ner, dependency_stats, avg_max_arc_length)`: label counts as maps and the mean longest arc, in one scan.
+
+    Every token gives a row for each of its labels and one for its sentence; all are counted by (key, kind, label,
+    sentence) before anything is collected, so the maps are as large as the tag sets, whatever the number of tokens.
     """
-    labels = F.array(
-        F.struct(F.lit("pos").alias("kind"), F.col("upos").alias("label")),
-        F.struct(
-            F.lit("ner").alias("kind"),
-            F.when(F.col("ent_iob") == "B", F.col("ent_type")).alias("label"),
-        ),
-        F.struct(F.lit("dep").alias("kind"), F.col("deprel").alias("label")),
+    no_label, no_arc = F.lit(None).cast("string"), F.lit(None).cast("int")
+    # a label is counted over all documents of a key, so its rows have no sentence
+    place = {c: F.lit(None).cast(tokens.schema[c].dataType) for c in ("doc_id", "sent_id")}
+
+    def row(kind: str, label, doc_id, sent_id, arc):
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), doc_id.alias("in_doc"), sent_id.alias("in_sent"), arc.cast("int").alias("arc"))
+
+    rows = F.array(
+        row("pos", F.col("upos"), place["doc_id"], place["sent_id"], no_arc),
+        row("ner", F.when(F.col("ent_iob") == "B", F.col("ent_type")), place["doc_id"], place["sent_id"], no_arc),
+        row("dep", F.col("deprel"), place["doc_id"], place["sent_id"], no_arc),
+        row("arc", no_label, F.col("doc_id"), F.col("sent_id"), F.abs(F.col("tok_id") - F.col("head"))),
     )
     counts = (
-        tokens.select(*keys, F.inline(labels))
-        .groupBy(*keys, "kind", "label")
-        .agg(F.count("*").alias("n"))
+        tokens.select(*keys, F.inline(rows))
+        .groupBy(*keys, "kind", "label", "in_doc", "in_sent")
+        .agg(F.count("*").alias("n"), F.max("arc").alias("arc"))
     )
     entry = F.struct("label", "n")
 
@@ -66,13 +74,8 @@ def label_maps(tokens: DataFrame, keys: list[str]) -> DataFrame:
         usable = (F.col("kind") == kind) & F.col("label").isNotNull()
         return F.map_from_entries(F.collect_list(F.when(usable, entry)))
 
+    longest = F.avg(F.when((F.col("kind") == "arc") & (F.col("n") > 1), F.col("arc")))
     return counts.groupBy(*keys).agg(
-        as_map("pos").alias("pos"),
-        as_map("ner").alias("ner"),
-        as_map("dep").alias("dependency_stats"),
+        *[as_map(kind).alias(name) for kind, name in _LABELS.items()],
+        F.coalesce(longest, F.lit(0.0)).alias("avg_max_arc_length"),
     )
-
-
-def token_profile(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Label maps and mean longest arc per key. The two halves read different columns."""
-    return label_maps(tokens, keys).join(max_arc_length(tokens, keys), keys)

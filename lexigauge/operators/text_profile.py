@@ -5,7 +5,7 @@ Document-grain operators are row-wise: no shuffle, and they also run on a stream
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigauge.fixed_values import READABILITY_METRICS, SUMMED_COUNTS
@@ -191,6 +191,30 @@ def profile_documents(
     )
 
 
+def _dataset_sums(counted: DataFrame, key: str, counts: list[str], amount: str, words: Column) -> DataFrame:
+    """`(key, counts, amount, n_unique_words)` from one scan and one map-side combined aggregation.
+
+    Every text gives a row for each count and one for each of its distinct words. Both are summed by (key, place,
+    word), so the counts leave a row for each task and a hot key is spread over its words.
+    """
+
+    def row(place: int, word: Column, n: Column, x: Column) -> Column:
+        return F.struct(F.lit(place).alias("place"), word.alias("word"), n.alias("n"), x.alias("x"))
+
+    no_word, no_amount = F.lit(None).cast("string"), F.lit(None).cast("double")
+    fixed = [row(i, no_word, F.col(c), no_amount) for i, c in enumerate(counts)]
+    fixed.append(row(len(counts), no_word, F.lit(0).cast("bigint"), F.col(amount)))
+    of_words = F.transform(words, lambda w: row(-1, w, F.lit(1).cast("bigint"), no_amount))
+    rows = counted.select(key, F.inline_outer(F.concat(F.array(*fixed), of_words)))
+    summed = rows.groupBy(key, "place", "word").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    at = lambda i, c: F.when(F.col("place") == i, F.col(c))
+    return summed.groupBy(key).agg(
+        *[F.sum(at(i, "n")).alias(c) for i, c in enumerate(counts)],
+        F.sum(at(len(counts), "x")).alias(amount),
+        F.count(at(-1, "word")).alias("n_unique_words"),
+    )
+
+
 def profile_datasets(
     df: DataFrame, key: str, text: str = "text", lang: str | None = None
 ) -> DataFrame:
@@ -198,19 +222,13 @@ def profile_datasets(
 
     Counts add up, words are distinct over the dataset, readability follows from the summed
     counts (Russian coefficients where most words are in Russian texts), and homogeneity is
-    the mean over all pairs within documents. Sums and distinct words are two aggregations:
-    the sums leave one row per task and dataset, and the wide sums do not ride along in the
-    much larger shuffle by (dataset, word).
+    the mean over all pairs within documents. Texts are read once.
     """
     counted = homogeneity(text_counts(df, text, lang), text)
     ru_words = F.when(F.col(lang) == "ru", F.col("n_words")) if lang else F.lit(None)
-    counted = counted.withColumn("ru_words", ru_words.cast("bigint"))
-    sums = [*SUMMED_COUNTS, "n_pairs", "sum_similarity", "ru_words"]
-    summed = counted.groupBy(key).agg(
-        F.count("*").alias("n_docs"), *[F.sum(c).alias(c) for c in sums]
-    )
-    vocabulary = unique_words_by(df, key, text).withColumnRenamed(key, "_key")
-    totals = summed.join(vocabulary, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    counted = counted.withColumns({"ru_words": ru_words.cast("bigint"), "n_docs": F.lit(1).cast("bigint")})
+    counts = ["n_docs", *SUMMED_COUNTS, "n_pairs", "ru_words"]
+    totals = _dataset_sums(counted, key, counts, "sum_similarity", X.unique_words(X.words(F.col(text))))
     totals = totals.withColumns(
         {
             "_lang": F.when(F.col("ru_words") * 2 > F.col("n_words"), "ru").otherwise("other"),
