@@ -273,6 +273,37 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: str =
     return df.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`docs` without its text, with the token ids of each whole text and the text that they decode to.
+
+    One worker does both, so a core holds one vocabulary and no text goes to a second one.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.sparkSession.sparkContext.broadcast(open(vocabulary_path, encoding="utf-8").read())
+    rest = docs.drop(text)
+    schema = with_fields(rest, (ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType()))
+    fields = arrow_schema(schema)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encoder = decoder = None
+        for batch in batches:
+            if encoder is None:
+                vocabulary = Vocabulary(source.value)
+                encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+            found, texts = [], []
+            for value in batch.column(batch.schema.get_field_index(text)):
+                found.append(encoder.encode(value.as_py() or ""))
+                texts.append(decoder.decode(found[-1]))
+            at = np.zeros(len(found) + 1, np.int32)
+            np.cumsum([len(x) for x in found], out=at[1:])
+            values = np.concatenate(found) if found else np.empty(0, np.int32)
+            yield arrow_rows(batch, fields, **{ids: pa.ListArray.from_arrays(pa.array(at), pa.array(values, pa.int32())), decoded: texts})
+
+    return docs.mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list:
     """Columns: number of tokens, and SHA-256 of the ids and of the decoded text."""
     written = F.array_join(F.col(ids).cast("array<string>"), ",")

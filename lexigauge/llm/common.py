@@ -70,6 +70,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def carried(docs: DataFrame, own: set[str], made: tuple[str, ...], operate) -> DataFrame:
+    """`operate(docs)` with every column but `own` under a name that no operator uses, and back under its own after it.
+
+    made: the columns that the result adds; those of `docs` with such a name are replaced.
+    """
+    others = [c for c in docs.columns if c not in own and c not in made]
+    safe = {c: f"carried {i}" for i, c in enumerate(others)}
+    kept = docs.drop(*[c for c in made if c not in own])
+    out = operate(kept.withColumnsRenamed(safe))
+    return out.withColumnsRenamed({new: c for c, new in safe.items()})
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """The schema of `df` with fields at its end, in place of any of the same name."""
     names = {n for n, _ in fields}

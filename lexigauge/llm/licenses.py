@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, normal_words, text_of
+from .common import carried, let, normal_words, text_of
 
 #: The phrases that count as base places, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -224,6 +224,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     Places are (start, stop, label, priority) in words from 0, stop exclusive. A null text counts as
     empty. Rows are scanned each on their own: repeated ones give the same, an empty table nothing.
     """
+    return carried(docs, {text}, ("n_words", "base", "detections"), lambda own: _scanned(own, text))
+
+
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
     base = [(label, phrase, phrase, 9) for phrase, label in BASE.items()]
     table = rules()
     levels = sorted({p for *_, p in table}, reverse=True)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within, materialize
-from .common import constant_longs, let
+from .common import carried, constant_longs, let
 
 SIMILARITY = 0.8
 #: Counters of words, a power of two; their number does not grow with the data.
@@ -150,6 +150,10 @@ def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: flo
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with the lines left in `text`, and `n_lines` and `n_removed`."""
+    return carried(docs, {"doc_id", "text"}, ("n_lines", "n_removed"), lambda own: _without_lines(own, similarity))
+
+
+def _without_lines(docs: DataFrame, similarity: float) -> DataFrame:
     gone = marked_lines(docs, similarity).filter("removed").groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_gone")
     rest = docs.drop("n_lines", "n_removed")

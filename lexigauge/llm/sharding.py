@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_within, materialize, without_shuffle_files
+from .common import free_name
 
 BUCKET_BYTES = 16 << 20
 SEED = 20_240
@@ -70,7 +71,8 @@ def write_shards(df: DataFrame, path: str, n_shards: int = 16, seed: int = SEED,
     Returns the rows as they are read back, with `shard` and `slot`.
     """
     placed = shuffled_shards(df, n_shards, seed, bucket_bytes)
-    blocks = placed.withColumn("_block", F.floor(F.col("slot") / (1 << 17)))
+    block = free_name(placed, "block")
+    blocks = placed.withColumn(block, F.floor(F.col("slot") / (1 << 17)))
     with without_shuffle_files(df.sparkSession):
-        blocks.repartition("shard", "_block").sortWithinPartitions("shard", "slot").drop("_block").write.partitionBy("shard").parquet(path)
+        blocks.repartition("shard", block).sortWithinPartitions("shard", "slot").drop(block).write.partitionBy("shard").parquet(path)
     return df.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns)

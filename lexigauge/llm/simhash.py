@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import arrow_rows, arrow_schema, small_batches, with_fields
+from .common import arrow_batches, arrow_rows, arrow_schema, free_name, small_batches, with_fields
 from .components import connected_components
 
 WORDS = 4
@@ -198,8 +198,8 @@ def near_links(prints: DataFrame, column: str = "simhash") -> DataFrame:
                             names=["tree", "leaf", "fp", "home"],
                         )
 
-    small_batches(spark, 10_000)
-    placed = materialize(distinct.mapInArrow(place, "tree int, leaf int, fp long, home boolean"), "leaves")
+    with arrow_batches(spark, 10_000):
+        placed = materialize(distinct.mapInArrow(place, "tree int, leaf int, fp long, home boolean"), "leaves")
     # at most as many rows as the trees have leaves, whatever the input
     size = placed.groupBy("tree", "leaf").agg(F.count(F.when(F.col("home"), 1)).alias("n_home"), F.count("*").alias("n"))
     size = size.select("tree", "leaf", F.ceil(F.col("n_home") / CHUNK).cast("int").alias("n_chunks"), F.ceil(F.col("n") / (4 * CHUNK)).cast("int").alias("n_parts"))
@@ -254,10 +254,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, ...) with one row of each group: that with the smallest doc_id, of equal ones the first text."""
-    rows = with_fingerprints(docs, out="_simhash")
+    print_ = free_name(docs, "fingerprint")
+    rows = with_fingerprints(docs, out=print_).select(F.struct(*docs.columns).alias("row"), F.col(print_).alias("simhash"))
     prints = materialize(with_fingerprints(docs.select("doc_id", "text")).drop("text"), "simhash")
-    named = groups(prints).withColumnRenamed("simhash", "_simhash")
     # only rows with the smallest id go on, so that a large group is no large window
-    left = rows.join(named, "_simhash").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    order = Window.partitionBy("root").orderBy(F.col("text").asc_nulls_last())
-    return left.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
+    left = rows.join(groups(prints), "simhash").filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    order = Window.partitionBy("root").orderBy(F.col("row.text").asc_nulls_last())
+    return left.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import arrow_rows, arrow_schema, small_batches, text_of, with_fields
+from .common import arrow_rows, arrow_schema, carried, small_batches, text_of, with_fields
 
 LENGTH = 100
 GRAM = 32
@@ -332,6 +332,10 @@ def _hot_runs(docs: DataFrame, hot) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `kept` (the bytes left), `n_bytes`, `n_removed` and `n_spans` (runs of removed bytes)."""
+    return carried(docs, {doc_id, text}, ("kept", "n_bytes", "n_removed", "n_spans"), lambda own: _without_repeats(own, doc_id, text))
+
+
+def _without_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     keyed = docs.withColumns({"_doc": F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long"), "_tie": F.xxhash64(text_of(docs, text))})
     runs = removed_runs(keyed.select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), text_of(docs, text).alias("text")))
     lists = runs.groupBy("doc", "tie").agg(F.collect_list("first").alias("_first"), F.collect_list("number").alias("_number"))
