@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigauge.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from lexigauge.llm.common import free_name
 from lexigauge.session import broadcast_within, materialize
 
 #: Contaminated keys (longs) that are broadcast; more are joined by a shuffle.
@@ -39,11 +40,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that contain an item of `benchmark`. Rows are told apart by id and text."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.contained_items(keyed.select("_key", "text"), items, doc_id="_key")
-    bad = materialize(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return keyed.join(broadcast_within(bad, BROADCAST_KEYS), "_key", "left_anti").select(*docs.columns)
+    found = decontaminate.contained_items(keyed.select(key, "text"), items, doc_id=key)
+    bad = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(broadcast_within(bad, BROADCAST_KEYS), key, "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    done = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return done.select("doc_id", "lang", "source", "ids", *bpe.digests(done))
 
 
