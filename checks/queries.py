@@ -20,6 +20,7 @@ from lexigauge.operators import text_profile as T
 from lexigauge.plans import Comparison, dataset_features, full_profile
 from lexigauge.plans import group_report_lines, overall_report_lines
 from lexigauge.plans.comparison import fitted_groups
+from lexigauge.plans.detected import profile_detected
 from lexigauge.plans.profile import flat_profile
 from lexigauge.session import materialize, new_folder
 from lexigauge.sources import (
@@ -91,6 +92,13 @@ def q_clean_summary(spark, sf):
     return P.row_accounting(_broken_rows(spark, sf))
 
 
+def q_clean_summary_observed(spark, sf):
+    # counted while the kept rows are written
+    rows, seen = P.observed(_broken_rows(spark, sf))
+    materialize(P.kept(rows), "kept")
+    return P.observed_accounting(spark, seen)
+
+
 def q_clean_preview(spark, sf):
     return P.preview(_broken_rows(spark, sf), "event_id")
 
@@ -158,6 +166,13 @@ def q_lang_detect(spark, sf):
     return L.detect_language(docs, profile, "doc_id")
 
 
+def q_profile_detected(spark, sf):
+    docs = D.partly_russian(spark, sf)
+    languages = materialize(L.fit_profile(docs), "languages")
+    found = profile_detected(docs, languages)
+    return rounded(found.drop("n_pairs", "sum_similarity", "avg_similarity"))
+
+
 # --- Texts ---------------------------------------------------------------------------
 
 
@@ -199,6 +214,22 @@ def q_unique_words_dataset(spark, sf):
     return T.unique_words_by(D.documents(spark, sf), "dataset_name")
 
 
+def q_unique_words_sketch(spark, sf):
+    docs = D.documents(spark, sf)
+    parts = materialize(T.unique_word_sketches(docs, ["dataset_name", "lang"]), "sketches")
+    merged = T.merged_sketches(parts, ["dataset_name"]).withColumnRenamed("words_sketch", "merged")
+    whole = T.unique_word_sketches(docs, ["dataset_name"])
+    both = T.unique_words_by(docs, "dataset_name").join(whole, "dataset_name").join(merged, "dataset_name")
+    exact, about = F.col("n_unique_words"), T.sketched_words(F.col("words_sketch"))
+    return both.select(
+        "dataset_name",
+        "n_unique_words",
+        # four times the error to be expected
+        (F.abs(about - exact) <= exact * 4 * 1.04 / 2 ** (T.SKETCH_PRECISION / 2)).alias("within_error"),
+        T.same_words(F.col("words_sketch"), F.col("merged")).alias("merge_equals_whole"),
+    )
+
+
 def q_char_classes(spark, sf):
     counted = T.char_classes(D.documents(spark, sf))
     return counted.select("doc_id", "n_letters", "n_spaces", "n_punctuations")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexigauge.functions import clean_text, is_valid_text
 from lexigauge.sources.csv_text import CORRUPT, CsvText
 
 RAGGED, INVALID_CELL, INVALID_TEXT = "ragged", "invalid_cell", "invalid_text"
+REASONS = (RAGGED, INVALID_CELL, INVALID_TEXT)
+KEPT = "kept"
 
 
 def clean_cells(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,10 +92,28 @@ def rejected(rows: DataFrame) -> DataFrame:
 
 def row_accounting(rows: DataFrame) -> DataFrame:
     """`(reject_reason, n_rows)`; kept rows under the reason `kept`."""
-    reason = F.coalesce(F.col("reject_reason"), F.lit("kept")).alias("reject_reason")
+    reason = F.coalesce(F.col("reject_reason"), F.lit(KEPT)).alias("reject_reason")
     return rows.groupBy(reason).agg(F.count("*").alias("n_rows"))
 
 
+def observed(rows: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """`rows` as they are, and the counts of kept and rejected ones that whatever reads them next takes along.
+
+    The counts stand in the observation once a query over the rows has run: `observed_accounting` shows them.
+    """
+    reason = F.col("reject_reason")
+    counts = [F.count(F.when(reason.isNull(), 1)).alias(KEPT)]
+    counts += [F.count(F.when(reason == r, 1)).alias(r) for r in REASONS]
+    seen = Observation(name)
+    return rows.observe(seen, *counts), seen
+
+
+def observed_accounting(spark: SparkSession, seen: Observation) -> DataFrame:
+    """`row_accounting` from an observation, without a pass over the rows."""
+    counts = [(reason, n) for reason, n in seen.get.items() if n]
+    return spark.createDataFrame(counts, "reject_reason string, n_rows long")
+
+
 def preview(rows: DataFrame, row_id: str, n: int = 10) -> DataFrame:
     """The first `n` kept texts."""
     return kept(rows).orderBy(row_id).limit(n)

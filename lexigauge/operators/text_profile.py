@@ -15,6 +15,10 @@ from lexigauge.functions.homogeneity import adjacent_similarities
 from lexigauge.functions.readability import readability_columns
 
 
+#: Bits of a sketch's registers: 4096 of them, a relative error of 1.6 % as a rule.
+SKETCH_PRECISION = 12
+
+
 def _lang(lang: str | None):
     return None if lang is None else F.col(lang)
 
@@ -80,6 +84,35 @@ def unique_words_by(df: DataFrame, key: str, text: str = "text", approximate: bo
     return rows.groupBy(key).agg(distinct.alias("n_unique_words"))
 
 
+def unique_word_sketches(df: DataFrame, keys: list[str], text: str = "text", precision: int = SKETCH_PRECISION) -> DataFrame:
+    """`(keys, words_sketch)`: a HyperLogLog sketch of the distinct lower-cased words of each key.
+
+    A task sends one sketch of about 2^precision bytes a key. Sketches are kept with the feature rows and merged
+    later, so a roll-up needs no text.
+    """
+    rows = df.select(*keys, F.explode_outer(X.unique_words(X.words(F.col(text)))).alias("word"))
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg("word", precision).alias("words_sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """`(keys, words_sketch)` of coarser keys, as if all their texts had been read together."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("words_sketch").alias("words_sketch"))
+
+
+def sketched_words(sketch: Column) -> Column:
+    """About how many distinct words a sketch has seen: off by 1.04 / sqrt(2^precision) as a rule."""
+    return F.hll_sketch_estimate(sketch)
+
+
+def same_words(a: Column, b: Column) -> Column:
+    """Whether two sketches have seen the same words, as far as sketches can tell.
+
+    A sketch's estimate also hangs on the order words came in, that of a union on its registers only.
+    """
+    both = sketched_words(F.hll_union(a, b))
+    return (both == sketched_words(F.hll_union(a, a))) & (both == sketched_words(F.hll_union(b, b)))
+
+
 def text_counts(df: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
     """Adds every count of a text profile, at the grain of the rows given."""
     df = _fill_text(df, text)
@@ -229,6 +262,11 @@ def profile_datasets(
     counted = counted.withColumns({"ru_words": ru_words.cast("bigint"), "n_docs": F.lit(1).cast("bigint")})
     counts = ["n_docs", *SUMMED_COUNTS, "n_pairs", "ru_words"]
     totals = _dataset_sums(counted, key, counts, "sum_similarity", X.unique_words(X.words(F.col(text))))
+    return finish_datasets(totals, key)
+
+
+def finish_datasets(totals: DataFrame, key: str) -> DataFrame:
+    """What follows from a dataset's summed counts, `ru_words` and `n_unique_words` among them."""
     totals = totals.withColumns(
         {
             "_lang": F.when(F.col("ru_words") * 2 > F.col("n_words"), "ru").otherwise("other"),
