@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigauge.fixed_values import READABILITY_METRICS
+from lexigauge.functions.homogeneity import multiset_cosine
 from lexigauge.operators import text_profile as T
 
 from .conftest import optimized, physical
@@ -201,3 +202,41 @@ def test_chunking_is_linear(spark, split):
 
     seconds(500_000)
     assert seconds(4_000_000) <= 2.5 * seconds(2_000_000)
+
+
+def plain_similarity(a, b):
+    x, y = Counter(a), Counter(b)
+    return sum((x & y).values()) / math.sqrt(len(a) * len(b))
+
+
+def test_long_sentences_are_compared_as_short_ones(spark):
+    rnd = random.Random(3)
+    kinds = ["ab c", "the cat", "日本語" + "".join(map(chr, range(0x4E00, 0x5A00))), "\U0001f600é\n", "x", "$^\\.*"]
+    pairs = [
+        tuple("".join(rnd.choices(rnd.choice(kinds), k=n)) for n in (size, rnd.randint(1, size)))
+        for size in (1, 10, 1500, 3000, 40_000)
+        for _ in range(6)
+    ] + [("x" * 300_000, "y" * 5000), ("x" * 300_000, "x" * 5000 + "z")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", multiset_cosine(F.col("a"), F.col("b")).alias("got")).collect():
+        assert r.got == pytest.approx(plain_similarity(r.a, r.b), abs=1e-12)
+
+
+def test_similarity_of_lines_without_stops_is_linear(spark):
+    """Sentences of a million characters, thousands of them different."""
+    rnd = random.Random(1)
+    letters = [chr(0x4E00 + i) for i in range(6000)] + list("abcdefgh ")
+    line = "".join(rnd.choices(letters, k=1_000_000))
+
+    def seconds(n):
+        df = texts(spark, [(f"{line[:n]}. {line[-n:]}.", "en")]).cache()
+        df.count()
+        taken = []
+        for _ in range(2):
+            started = time.perf_counter()
+            assert T.homogeneity(df).first().n_pairs == 1
+            taken.append(time.perf_counter() - started)
+        return min(taken)
+
+    seconds(100_000)
+    assert seconds(1_000_000) <= 2.5 * 2.5 * seconds(250_000)
