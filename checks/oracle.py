@@ -104,6 +104,13 @@ CLEANING = {
                      CASE WHEN NOT ({valid("a")} AND {valid("b")} AND {valid("t")})
                           THEN 'invalid_cell' END AS reject_reason FROM c)
         SELECT CASE WHEN reject_reason IS NULL THEN text END AS text, reject_reason FROM j""",
+    "csv_by_name": f"""
+        WITH c AS (SELECT {clean("CAST(doc_id AS VARCHAR)")} AS a, {clean("lang")} AS b,
+                          {clean("replace(text, chr(10), ' ')")} AS t FROM documents),
+        j AS (SELECT a || ' ' || t AS text,
+                     CASE WHEN NOT ({valid("a")} AND {valid("b")} AND {valid("t")})
+                          THEN 'invalid_cell' END AS reject_reason FROM c)
+        SELECT CASE WHEN reject_reason IS NULL THEN text END AS text, reject_reason FROM j""",
 }
 
 # --- Texts ---------------------------------------------------------------------------

@@ -25,6 +25,7 @@ from lexigauge.plans.profile import flat_profile
 from lexigauge.session import materialize, new_folder
 from lexigauge.sources import (
     append_features,
+    read_csv_by_name,
     read_csv_text,
     read_features,
     write_normalized,
@@ -123,6 +124,18 @@ def q_csv_source(spark, sf):
     return rows.select("text", "reject_reason")
 
 
+def q_csv_by_name(spark, sf):
+    # two orders of the columns, names that need cleaning
+    path = new_folder(spark, "texts_by_name")
+    docs = D.table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", "\n", " ").alias("text"))
+    odd = docs.toDF('"doc_id"', " lang ", "text")
+    odd.filter(F.col('`"doc_id"`') % 2 == 0).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    swapped = docs.filter("doc_id % 2 = 1").select("text", "doc_id", "lang")
+    swapped.write.mode("append").options(header=True, quoteAll=True, escape='"').csv(path)
+    rows = P.clean_csv(read_csv_by_name(spark, path), names=["doc_id", "text"])
+    return rows.select("text", "reject_reason")
+
+
 def q_append_union(spark, sf):
     path = new_folder(spark, "features")
     docs = T.profile_datasets(D.documents(spark, sf), "dataset_name")

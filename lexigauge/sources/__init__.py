@@ -1,4 +1,4 @@
-from lexigauge.sources.csv_text import CsvText, read_csv_text
+from lexigauge.sources.csv_text import CsvText, read_csv_by_name, read_csv_text
 from lexigauge.sources.tables import (
     append_features,
     read_features,
@@ -11,6 +11,7 @@ from lexigauge.sources.tables import (
 __all__ = [
     "CsvText",
     "append_features",
+    "read_csv_by_name",
     "read_csv_text",
     "read_features",
     "read_table",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ class CsvText:
         return [self.columns[p - 1] for p in positions]
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> CsvText:
+def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> CsvText:
     """Read CSV (UTF-8, `"` quoting with doubled quotes) without giving up odd headers or rows.
 
     `multi_line=False` lets Spark split large files; use it where no quoted cell holds a
@@ -79,3 +80,66 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> Cs
     )
     names = spark.createDataFrame(list(enumerate(headers, 1)), "position int, header string")
     return CsvText(rows, headers, names.filter(~is_valid_text(F.col("header"))))
+
+
+MAX_HEADERS = 1000
+
+
+def _first_lines(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, first line) of every file, in the order of their names: one row a file, as many as Spark lists."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    top = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    return [(r.file, r.line) for r in top.orderBy("file").collect()]
+
+
+def read_csv_by_name(spark: SparkSession, path: str, multi_line: bool = False) -> CsvText:
+    """Like `read_csv_text` for files whose headers differ: cells are put together by their cleaned header names.
+
+    Every file has a header of its own, on its first line. The columns are the names of all headers in the
+    order they appear, files by their names; of a name that a header has twice the first cell comes
+    first, then the second. A file without one of the columns has null there. `header_issues` has
+    `(file, position, header, issue)`: names that are no valid text, and, under `differs`, the names of files whose header is
+    not that of the first file. Files with the same header are read together.
+    """
+    try:
+        tops = _first_lines(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "FAILED_READ_FILE.FILE_NOT_EXIST"):
+            raise FileNotFoundError(path) from error
+        raise
+    if not tops:
+        raise ValueError(f"no header row in {path}")
+    files: dict[str, list[str]] = {}
+    for file, line in tops:
+        files.setdefault(line, []).append(file)
+    if len(files) > MAX_HEADERS:
+        raise ValueError(f"{len(files)} different headers in {path}")
+    parts = {line: read_csv_text(spark, own, multi_line) for line, own in files.items()}
+
+    def keys(headers: list[str]) -> list[tuple[str, int]]:
+        return [(h, headers[:i].count(h)) for i, h in enumerate(headers)]
+
+    known = list(dict.fromkeys(k for part in parts.values() for k in keys(part.headers)))
+    tables = []
+    for number, part in enumerate(parts.values()):
+        own = dict(zip(keys(part.headers), part.columns))
+        cells = [(F.col(own[k]) if k in own else F.lit(None).cast("string")).alias(f"c{i}") for i, k in enumerate(known, 1)]
+        # ids of a read use fewer than 50 bits, so those of different reads stay apart
+        tables.append(part.rows.select((F.col("row_id") + F.lit(number << 50)).alias("row_id"), *cells, CORRUPT))
+    rows = reduce(DataFrame.unionByName, tables)
+    first = parts[tops[0][1]].headers
+    told = [
+        (file, i, h, None if parts[line].headers == first else "differs")
+        for line, own in files.items()
+        for file in own
+        for i, h in enumerate(parts[line].headers, 1)
+    ]
+    names = spark.createDataFrame(told, "file string, position int, header string, issue string")
+    issue = F.when(~is_valid_text(F.col("header")), F.lit("invalid")).otherwise(F.col("issue"))
+    issues = names.withColumn("issue", issue).filter("issue IS NOT NULL")
+    return CsvText(rows, [h for h, _ in known], issues)
