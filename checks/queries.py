@@ -137,7 +137,15 @@ def q_csv_by_name(spark, sf):
 
 
 def q_append_union(spark, sf):
-    path = new_folder(spark, "features")
+    return _appended(spark, sf, new_folder(spark, "features"))
+
+
+def q_append_union_csv(spark, sf):
+    found = _appended(spark, sf, new_folder(spark, "features.csv"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("n_words", "n_sents")})
+
+
+def _appended(spark, sf, path):
     docs = T.profile_datasets(D.documents(spark, sf), "dataset_name")
     append_features(docs.select("n_words", "n_sents", "dataset_name", "avg_similarity"), path)
     talks = T.basic_stats(D.conversations(spark, sf)).agg(

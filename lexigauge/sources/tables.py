@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigauge.fixed_values import UNNAMED
+from lexigauge.sources.csv_text import read_csv_by_name
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def _is_csv(path: str) -> bool:
+    return path.rstrip("/").endswith(".csv")
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """A Parquet table, or a CSV table with a header if the path says so.
 
     Cells may be quoted, hold doubled quotes and line breaks. Without a schema a CSV is read twice.
+    `multi_line=False` lets Spark split large files; use it where no cell holds a line break.
     """
     reader = spark.read.schema(schema) if schema else spark.read
-    if path.rstrip("/").endswith(".csv"):
+    if _is_csv(path):
         if schema is None:
             reader = reader.option("inferSchema", True)
-        return reader.csv(path, header=True, quote='"', escape='"', multiLine=True)
+        return reader.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     return reader.parquet(path)
 
 
@@ -45,12 +53,26 @@ def union_features(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_features(df: DataFrame, path: str) -> None:
-    """Add feature rows to a stored table. Old rows are not rewritten."""
-    _named(df).write.mode("append").parquet(path)
+    """Add feature rows to a stored table, CSV with headers if the path says so. Old rows are not rewritten."""
+    writer = _named(df).write.mode("append")
+    if _is_csv(path):
+        writer.options(header=True, escape='"').csv(path)
+    else:
+        writer.parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Stored feature rows; without a schema, over the union of all stored columns."""
+    """Stored feature rows; without a schema, over the union of all stored columns.
+
+    Columns of a CSV table are found by the header of each of its files; without a schema all but
+    `dataset_name` are numbers, and what is none is null.
+    """
+    if _is_csv(path):
+        stored = read_csv_by_name(spark, path)
+        found = list(dict.fromkeys(stored.headers))
+        kinds = {f.name: f.dataType for f in schema} if schema else {c: T.StringType() if c == "dataset_name" else T.DoubleType() for c in found}
+        cells = [(F.col(stored.column_of(c)) if c in found else F.lit(None)).try_cast(t).alias(c) for c, t in kinds.items()]
+        return _named(stored.rows.select(*cells))
     if schema is None:
         return _named(spark.read.option("mergeSchema", True).parquet(path))
     return _named(spark.read.schema(schema).parquet(path))

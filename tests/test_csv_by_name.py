@@ -1,9 +1,10 @@
 """CSV files whose headers differ."""
 
 import pytest
+from pyspark.sql import types as T
 
 from lexigauge.operators import clean
-from lexigauge.sources import read_csv_by_name
+from lexigauge.sources import append_features, read_csv_by_name, read_features
 
 
 def written(folder, files):
@@ -51,3 +52,17 @@ def test_errors(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     with pytest.raises(ValueError):
         read_csv_by_name(spark, str(tmp_path))
+
+
+def test_feature_tables_as_csv(spark, tmp_path):
+    """Tables with other columns, appended; cells that are no numbers."""
+    path = str(tmp_path / "features.csv")
+    append_features(spark.createDataFrame([("a", 1.5, 2)], "dataset_name string, x double, `dependency_acl:relcl` long"), path)
+    append_features(spark.createDataFrame([(7, 'with "quotes", and more', None)], "y long, dataset_name string, x double"), path)
+    append_features(spark.createDataFrame([(3.0, "text")], "x double, y string"), path)
+    got = sorted((tuple(r[c] for c in ("dataset_name", "x", "y", "dependency_acl:relcl")) for r in read_features(spark, path).collect()), key=str)
+    assert got == [("a", 1.5, None, 2.0), ("unnamed_dataset", 3.0, None, None), ('with "quotes", and more', None, 7.0, None)]
+    schema = T.StructType([T.StructField("dataset_name", T.StringType()), T.StructField("y", T.LongType()), T.StructField("z", T.DoubleType())])
+    typed = read_features(spark, path, schema)
+    assert typed.schema["y"].dataType == T.LongType()
+    assert sorted((r.y or 0, r.z) for r in typed.collect()) == [(0, None), (0, None), (7, None)]
