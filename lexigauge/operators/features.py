@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,21 +80,55 @@ def _divide(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     return df.withColumns(ratios) if here else df
 
 
-def normalize_by_sentences(df: DataFrame) -> DataFrame:
-    """The dependency columns per sentence; NULL where there are no sentences."""
-    return _divide(df, BY_SENTENCES, N_SENTS)
-
-
-def normalize_by_words(df: DataFrame) -> DataFrame:
-    """The entity, part-of-speech and count columns per word; NULL where there are no words."""
-    return _divide(df, BY_WORDS, N_WORDS)
-
-
-def normalize(df: DataFrame) -> DataFrame:
-    return normalize_by_words(normalize_by_sentences(df))
-
-
-def normalization_columns(spark) -> DataFrame:
+def normalize_by_sentences(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The given columns (the dependency columns) per sentence; NULL where there are no sentences."""
+    return _divide(df, BY_SENTENCES if columns is None else columns, N_SENTS)
+
+
+def normalize_by_words(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The given columns (entities, parts of speech, counts) per word; NULL where there are no words."""
+    return _divide(df, BY_WORDS if columns is None else columns, N_WORDS)
+
+
+def normalize(
+    df: DataFrame, by_sentences: list[str] | None = None, by_words: list[str] | None = None
+) -> DataFrame:
+    """Both, each over the library's columns or over a list of the caller's. Columns that `df` lacks are skipped."""
+    own = {
+        N_SENTS: [c for c in (BY_SENTENCES if by_sentences is None else by_sentences) if c in df.columns],
+        N_WORDS: [c for c in (BY_WORDS if by_words is None else by_words) if c in df.columns],
+    }
+    twice = set(own[N_SENTS]) & set(own[N_WORDS])
+    if twice:
+        raise ValueError(f"columns in both lists: {sorted(twice)}")
+    ratios = {
+        c: F.expr(f"cast(try_divide(`{c}`, `{by}`) as double)")
+        for by, columns in own.items()
+        if by in df.columns
+        for c in columns
+    }
+    # all from the same row: a column that is divided still divides others by its old value
+    return df.withColumns(ratios) if ratios else df
+
+
+def read_column_list(spark: SparkSession, path: str) -> list[str]:
+    """A JSON array of column names, as kept beside a feature table. One small file, read by the driver."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+        parsed = text.select(F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("names")).first()
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "FAILED_READ_FILE.FILE_NOT_EXIST"):
+            raise FileNotFoundError(path) from error
+        raise
+    if parsed is None or parsed.names is None or None in parsed.names:
+        raise ValueError(f"{path} holds no list of column names")
+    return list(parsed.names)
+
+
+def normalization_columns(
+    spark: SparkSession, by_sentences: list[str] | None = None, by_words: list[str] | None = None
+) -> DataFrame:
     """`(column, denominator)`: which column is divided by what."""
-    rows = [(c, N_SENTS) for c in BY_SENTENCES] + [(c, N_WORDS) for c in BY_WORDS]
+    rows = [(c, N_SENTS) for c in (BY_SENTENCES if by_sentences is None else by_sentences)]
+    rows += [(c, N_WORDS) for c in (BY_WORDS if by_words is None else by_words)]
     return spark.createDataFrame(rows, "column string, denominator string")
