@@ -221,7 +221,7 @@ def q_doc_basic_stats(spark, sf):
 
 
 def q_dataset_basic_stats(spark, sf):
-    totals = T.profile_datasets(D.documents(spark, sf), "dataset_name")
+    totals = T.profile_datasets(D.documents(spark, sf), "dataset_name", with_words=False, with_similarity=False)
     return rounded(
         totals.select("dataset_name", "n_docs", "n_chars", "n_words", "n_sents", "avg_word_length")
     )
@@ -278,7 +278,7 @@ def q_readability_doc(spark, sf):
 
 
 def q_readability_dataset(spark, sf):
-    scored = T.profile_datasets(D.documents(spark, sf), "dataset_name", lang="lang")
+    scored = T.profile_datasets(D.documents(spark, sf), "dataset_name", lang="lang", with_words=False, with_similarity=False)
     return rounded(scored.select("dataset_name", *READABILITY_METRICS))
 
 
@@ -292,7 +292,7 @@ def q_homogeneity(spark, sf):
 
 
 def q_homogeneity_dataset(spark, sf):
-    scored = T.profile_datasets(D.documents(spark, sf), "dataset_name")
+    scored = T.profile_datasets(D.documents(spark, sf), "dataset_name", with_words=False)
     return rounded(scored.select("dataset_name", "n_pairs", "avg_similarity"))
 
 

@@ -249,19 +249,32 @@ def _dataset_sums(counted: DataFrame, key: str, counts: list[str], amount: str,
 
 
 def profile_datasets(
-    df: DataFrame, key: str, text: str = "text", lang: str | None = None
+    df: DataFrame,
+    key: str,
+    text: str = "text",
+    lang: str | None = None,
+    with_words: bool = True,
+    with_similarity: bool = True,
 ) -> DataFrame:
     """The same profile per dataset.
 
     Counts add up, words are distinct over the dataset, readability follows from the summed
     counts (Russian coefficients where most words are in Russian texts), and homogeneity is
-    the mean over all pairs within documents. Texts are read once.
+    the mean over all pairs within documents. Texts are read once. Distinct words and homogeneity
+    can be left out, which makes them null and saves their work.
     """
-    counted = homogeneity(text_counts(df, text, lang), text)
+    counted = text_counts(df, text, lang)
+    if with_similarity:
+        counted = homogeneity(counted, text)
+    else:
+        counted = counted.withColumns({"n_pairs": F.lit(None).cast("bigint"), "sum_similarity": F.lit(None).cast("double")})
     ru_words = F.when(F.col(lang) == "ru", F.col("n_words")) if lang else F.lit(None)
     counted = counted.withColumns({"ru_words": ru_words.cast("bigint"), "n_docs": F.lit(1).cast("bigint")})
     counts = ["n_docs", *SUMMED_COUNTS, "n_pairs", "ru_words"]
-    totals = _dataset_sums(counted, key, counts, "sum_similarity", X.unique_words(X.words(F.col(text))))
+    words = X.unique_words(X.words(F.col(text))) if with_words else F.array().cast("array<string>")
+    totals = _dataset_sums(counted, key, counts, "sum_similarity", words)
+    if not with_words:
+        totals = totals.withColumn("n_unique_words", F.lit(None).cast("bigint"))
     return finish_datasets(totals, key)
 
 

@@ -49,3 +49,12 @@ def test_sums_do_not_depend_on_the_plan(tables):
         for c in ("n_words", "n_sents", "n_syllables", "n_letters", "n_pairs"):
             assert r[c] == sum(p[c] for p in own)
         assert r.avg_similarity == pytest.approx(sum(p.sum_similarity for p in own) / r.n_pairs)
+
+
+def test_parts_can_be_left_out(tables):
+    docs, _ = tables
+    whole = T.profile_datasets(docs, "dataset_name", lang="lang").filter("dataset_name = 's1'").first()
+    less = T.profile_datasets(docs, "dataset_name", lang="lang", with_words=False, with_similarity=False).filter("dataset_name = 's1'").first()
+    gone = {"n_unique_words", "n_pairs", "sum_similarity", "avg_similarity"}
+    assert {c for c in less.asDict() if less[c] is None} == gone
+    assert all(less[c] == whole[c] for c in less.asDict() if c not in gone)
