@@ -271,9 +271,11 @@ def profile_datasets(
     ru_words = F.when(F.col(lang) == "ru", F.col("n_words")) if lang else F.lit(None)
     counted = counted.withColumns({"ru_words": ru_words.cast("bigint"), "n_docs": F.lit(1).cast("bigint")})
     counts = ["n_docs", *SUMMED_COUNTS, "n_pairs", "ru_words"]
-    words = X.unique_words(X.words(F.col(text))) if with_words else F.array().cast("array<string>")
-    totals = _dataset_sums(counted, key, counts, "sum_similarity", words)
-    if not with_words:
+    if with_words:
+        totals = _dataset_sums(counted, key, counts, "sum_similarity", X.unique_words(X.words(F.col(text))))
+    else:
+        # plain sums: those that nothing asks for are not computed
+        totals = counted.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*counts, "sum_similarity")])
         totals = totals.withColumn("n_unique_words", F.lit(None).cast("bigint"))
     return finish_datasets(totals, key)
 
