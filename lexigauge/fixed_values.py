@@ -21,7 +21,7 @@ JAVA_WS = (
 
 # --- Fixed values: text patterns ---
 WORD = r"[\p{L}\p{N}]+"
-LONG_WORD = r"[\p{L}\p{N}]{7,}"  # the LIX definition: more than six characters
+LONG_WORD = 7  # the LIX definition: more than six characters
 # A sentence starts at its first letter or digit and ends after its terminators.
 SENTENCE = rf"[\p{{L}}\p{{N}}](?:[^.!?]*[^.!?{WS}])?[.!?]*"
 LATIN_VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"

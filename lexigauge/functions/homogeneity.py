@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Cells of the table of character counts that is made at once; more sentences are taken in turns.
+_CELLS = 1 << 22
+
 
 def _bytes_of(char: Column, text: Column) -> Column:
     """Bytes all occurrences of a character take; sizes in bytes are known without a scan."""
@@ -68,3 +71,51 @@ def adjacent_similarities(sents: Column) -> Column:
     """
     pairs = F.greatest(F.size(sents) - 1, F.lit(0))
     return F.zip_with(F.slice(sents, F.lit(1), pairs), F.slice(sents, F.lit(2), pairs), multiset_cosine)
+
+
+def _batch_similarities(sents):
+    """Similarities of neighbours in an Arrow array of lists of sentences, as an array of lists.
+
+    Counts of characters are rows of a matrix, one per sentence, over the characters that occur; the sum of the
+    lesser counts of two rows is what the sentences share.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.list_value_length(sents).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = sents.flatten()
+    sizes = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    shared = np.zeros(max(len(flat) - 1, 0))
+    at, upto = 0, np.cumsum(sizes)
+    while at < len(flat) - 1:
+        # some sentences with as many characters as cells, at least a pair; the last is the first of the next turn
+        before = upto[at] - sizes[at]
+        stop = min(max(int(np.searchsorted(upto, before + _CELLS // 64, "right")), at + 2), len(flat))
+        together = pa.ListArray.from_arrays(pa.array([0, stop - at], pa.int32()), flat.slice(at, stop - at))
+        codes = np.frombuffer(pc.binary_join(together, "")[0].as_py().encode("utf-32-le"), "<u4")
+        occurs = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        occurs[codes] = True
+        kinds = max(int(occurs.sum()), 1)
+        places = (np.cumsum(occurs) - 1)[codes]
+        of = np.repeat(np.arange(stop - at), sizes[at:stop])
+        step = max(_CELLS // kinds, 2)
+        for low in range(0, stop - at - 1, step - 1):
+            high = min(low + step, stop - at)
+            x, y = np.searchsorted(of, [low, high])
+            counts = np.bincount((of[x:y] - low) * kinds + places[x:y], minlength=(high - low) * kinds).reshape(high - low, -1)
+            shared[at + low : at + high - 1] = np.minimum(counts[1:], counts[:-1]).sum(axis=1)
+        at = stop - 1
+    product = sizes[1:].astype(float) * sizes[:-1]
+    alike = np.divide(shared, np.sqrt(product), out=np.full(len(shared), np.nan), where=product > 0)
+    first = np.ones(len(flat) + 1, bool)
+    first[:-1] = False
+    first[ends] = True  # a pair that ends with the first sentence of a text is none
+    inner = pa.array(alike[~first[1 : len(flat)]], from_pandas=True)
+    pairs = np.maximum(np.diff(ends, prepend=0) - 1, 0)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pairs)]).astype(np.int32)), inner)
+
+
+def adjacent_similarities_in_batches(sents: Column) -> Column:
+    """The same as `adjacent_similarities`, computed for an Arrow batch of texts at a time."""
+    return F.arrow_udf(_batch_similarities, "array<double>")(sents)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexigauge.fixed_values import READABILITY_METRICS, SUMMED_COUNTS
 from lexigauge.functions import chunks as C
 from lexigauge.functions import text as X
-from lexigauge.functions.homogeneity import adjacent_similarities
+from lexigauge.functions.homogeneity import adjacent_similarities, adjacent_similarities_in_batches
 from lexigauge.functions.readability import readability_columns
 
 
@@ -31,9 +31,28 @@ def _fill_text(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
 
 
+#: What `_split` adds: a text's words put together, its sentences.
+_SPLIT = ["_joined", "_sents"]
+
+
+def _split(df: DataFrame, text: str) -> DataFrame:
+    """The parts that counts are taken from, each made by one pass over the text, and only if something asks for it."""
+    return _fill_text(df, text).withColumns({"_joined": X.joined_words(F.col(text)), "_sents": X.sentences(F.col(text))})
+
+
+def _basic(df: DataFrame, text: str) -> DataFrame:
+    return _add(df, X.basic_counts(F.col(text), F.col("_joined"), F.col("_sents")))
+
+
+def _syllables(df: DataFrame, lang: Column | None) -> DataFrame:
+    """Vowel counts of the joined words; `_finish_syllables` makes syllables of them."""
+    df = df.withColumn("_units", X.vowel_units(F.col("_joined"), lang))
+    return _add(df, X.syllable_counts(F.col("_units"), lang)).drop("_units")
+
+
 def basic_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_chars, n_words, n_sents, n_word_chars and avg_word_length."""
-    df = _add(_fill_text(df, text), X.basic_counts(F.col(text)))
+    df = _basic(_split(df, text), text).drop(*_SPLIT)
     return df.withColumn(
         "avg_word_length", X.mean_word_length(F.col("n_word_chars"), F.col("n_words"))
     )
@@ -57,19 +76,19 @@ def _finish_syllables(df: DataFrame) -> DataFrame:
 
 def syllable_stats(df: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
     """Adds n_words, n_syllables and the mono-, polysyllable, complex and simple word counts."""
-    df = _fill_text(df, text).withColumn("n_words", X.count_words(F.col(text)))
-    return _finish_syllables(_add(df, X.syllable_counts(F.col(text), _lang(lang))))
+    df = _split(df, text).withColumn("n_words", X.count_words(F.col("_joined")))
+    return _finish_syllables(_syllables(df, _lang(lang))).drop(*_SPLIT)
 
 
 def long_word_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words and n_long_words."""
-    df = _fill_text(df, text).withColumn("n_words", X.count_words(F.col(text)))
-    return _add(df, X.long_words(F.col(text)))
+    df = _split(df, text).withColumn("n_words", X.count_words(F.col("_joined")))
+    return _add(df, X.long_words(F.col("_joined"))).drop(*_SPLIT)
 
 
 def unique_words(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_unique_words: distinct lower-cased words of each text."""
-    found = F.size(X.unique_words(X.words(F.coalesce(F.col(text), F.lit("")))))
+    found = F.size(X.unique_words(F.coalesce(F.col(text), F.lit(""))))
     return df.withColumn("n_unique_words", found.cast("bigint"))
 
 
@@ -79,7 +98,7 @@ def unique_words_by(df: DataFrame, key: str, text: str = "text", approximate: bo
     The exact count shuffles by (key, word), so a hot key is spread over its words; the
     approximate one shuffles one sketch per key and task.
     """
-    rows = df.select(key, F.explode_outer(X.unique_words(X.words(F.col(text)))).alias("word"))
+    rows = df.select(key, F.explode_outer(X.unique_words(F.col(text))).alias("word"))
     distinct = F.approx_count_distinct("word") if approximate else F.count_distinct("word")
     return rows.groupBy(key).agg(distinct.alias("n_unique_words"))
 
@@ -90,7 +109,7 @@ def unique_word_sketches(df: DataFrame, keys: list[str], text: str = "text", pre
     A task sends one sketch of about 2^precision bytes a key. Sketches are kept with the feature rows and merged
     later, so a roll-up needs no text.
     """
-    rows = df.select(*keys, F.explode_outer(X.unique_words(X.words(F.col(text)))).alias("word"))
+    rows = df.select(*keys, F.explode_outer(X.unique_words(F.col(text))).alias("word"))
     return rows.groupBy(*keys).agg(F.hll_sketch_agg("word", precision).alias("words_sketch"))
 
 
@@ -113,10 +132,15 @@ def same_words(a: Column, b: Column) -> Column:
     return (both == sketched_words(F.hll_union(a, a))) & (both == sketched_words(F.hll_union(b, b)))
 
 
+def _counts(df: DataFrame, text: str, lang: str | None) -> DataFrame:
+    """Every count of a text profile, from what `_split` adds."""
+    df = _add(_basic(df, text), X.char_class_counts(F.col(text)) | X.long_words(F.col("_joined")))
+    return _finish_syllables(_syllables(df, _lang(lang)))
+
+
 def text_counts(df: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
     """Adds every count of a text profile, at the grain of the rows given."""
-    df = _fill_text(df, text)
-    return _finish_syllables(_add(df, X.text_count_columns(F.col(text), _lang(lang))))
+    return _counts(_split(df, text), text, lang).drop(*_SPLIT)
 
 
 def readability(df: DataFrame, lang: str | None = None) -> DataFrame:
@@ -126,8 +150,11 @@ def readability(df: DataFrame, lang: str | None = None) -> DataFrame:
 
 def homogeneity(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_pairs, sum_similarity and avg_similarity (null below two sentences)."""
-    df = df.withColumn("_sents", X.sentences(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("_sims", adjacent_similarities(F.col("_sents")))
+    return _homogeneity(df.withColumn("_sents", X.sentences(F.coalesce(F.col(text), F.lit(""))))).drop("_sents")
+
+
+def _homogeneity(df: DataFrame, similarities=adjacent_similarities) -> DataFrame:
+    df = df.withColumn("_sims", similarities(F.col("_sents")))
     df = df.withColumns(
         {
             "n_pairs": F.size("_sims").cast("bigint"),
@@ -136,7 +163,7 @@ def homogeneity(df: DataFrame, text: str = "text") -> DataFrame:
     )
     return df.withColumn(
         "avg_similarity", F.try_divide(F.col("sum_similarity"), F.col("n_pairs"))
-    ).drop("_sents", "_sims")
+    ).drop("_sims")
 
 
 def chunk_texts(
@@ -204,12 +231,17 @@ def chunked_readability(
     )
 
 
+def split_and_counted(df: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
+    """All counts, distinct words and homogeneity of every text, beside the parts they are taken from (`_SPLIT`)."""
+    counted = _homogeneity(_counts(_split(df, text), text, lang))
+    return counted.withColumn("n_unique_words", F.size(X.unique_of_joined(F.col("_joined"))).cast("bigint"))
+
+
 def profile_documents(
     df: DataFrame, keys: list[str], text: str = "text", lang: str | None = None
 ) -> DataFrame:
     """Counts, readability and homogeneity of every document; row-wise."""
-    counted = homogeneity(unique_words(text_counts(df, text, lang), text), text)
-    counted = counted.withColumn(
+    counted = split_and_counted(df, text, lang).withColumn(
         "avg_word_length", X.mean_word_length(F.col("n_word_chars"), F.col("n_words"))
     )
     return readability(counted, lang).select(
@@ -263,16 +295,16 @@ def profile_datasets(
     the mean over all pairs within documents. Texts are read once. Distinct words and homogeneity
     can be left out, which makes them null and saves their work.
     """
-    counted = text_counts(df, text, lang)
+    counted = _counts(_split(df, text), text, lang)
     if with_similarity:
-        counted = homogeneity(counted, text)
+        counted = _homogeneity(counted, adjacent_similarities_in_batches)
     else:
         counted = counted.withColumns({"n_pairs": F.lit(None).cast("bigint"), "sum_similarity": F.lit(None).cast("double")})
     ru_words = F.when(F.col(lang) == "ru", F.col("n_words")) if lang else F.lit(None)
     counted = counted.withColumns({"ru_words": ru_words.cast("bigint"), "n_docs": F.lit(1).cast("bigint")})
     counts = ["n_docs", *SUMMED_COUNTS, "n_pairs", "ru_words"]
     if with_words:
-        totals = _dataset_sums(counted, key, counts, "sum_similarity", X.unique_words(X.words(F.col(text))))
+        totals = _dataset_sums(counted, key, counts, "sum_similarity", X.unique_of_joined(F.col("_joined")))
     else:
         # plain sums: those that nothing asks for are not computed
         totals = counted.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*counts, "sum_similarity")])

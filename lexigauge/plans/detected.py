@@ -16,8 +16,8 @@ ROUTED = ["n_syllables", "n_monosyllable_words", "n_polysyllable_words", "n_comp
 
 def _counts_by_both_rules(docs: DataFrame, text: str) -> DataFrame:
     """All counts by the general rules, and `_ru`, the routed ones by the Russian rules; row-wise."""
-    counted = T.homogeneity(T.unique_words(T.text_counts(docs, text), text), text)
-    found = {f"_{c}": e for c, e in X.syllable_counts(F.col(text), F.lit("ru")).items()}
+    counted = T.split_and_counted(docs, text).withColumn("_units", X.vowel_units(F.col("_joined"), F.lit("ru")))
+    found = {f"_{c}": e for c, e in X.syllable_counts(F.col("_units"), F.lit("ru")).items()}
     counted = counted.withColumns(found)
     derived = X.syllable_results(
         F.col("n_words"),
