@@ -44,14 +44,26 @@ def _words(line: Column) -> Column:
 
 
 def _levels(docs: DataFrame) -> Column:
-    """For each bucket one of 16 levels by count, doubling from a sixteenth of the mean on, as the top bits of a long."""
+    """For each bucket one of 16 levels by count, doubling from a sixteenth of the mean on: 4 bits, 16 buckets to a long.
+
+    Every plan that looks words up holds this table, and the driver holds the plans.
+    """
     words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
     hashed = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket"))
     counts = materialize(hashed.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
     mean = (counts.agg(F.sum("n")).first()[0] or 1) / BUCKETS
     level = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean))) + 4, F.lit(0)), F.lit(15)).cast("long")
-    leveled = counts.select(F.col("bucket").cast("int"), F.shiftleft(level - 8, 60))
-    return constant_longs(leveled.collect(), BUCKETS)  # BUCKETS rows at most
+    place = (F.col("bucket") % 16 * 4).cast("int")
+    # as the top bits of a long they sort as numbers from -8 to 7
+    bits = F.call_function("shiftleft", level.bitwiseXOR(F.lit(8).cast("long")), place)
+    packed = counts.groupBy(F.shiftright("bucket", 4).cast("int")).agg(F.bit_or(bits))
+    return constant_longs(packed.collect(), BUCKETS // 16)  # that many rows at most
+
+
+def _level(table: Column, bucket: Column) -> Column:
+    """The level of a bucket as the top bits of a long."""
+    word = F.get(table, F.shiftright(bucket, 4))
+    return F.shiftleft(F.call_function("shiftrightunsigned", word, bucket.bitwiseAND(F.lit(15)) * 4), 60)
 
 
 def _with_sets(lines: DataFrame, levels: Column) -> DataFrame:
@@ -59,7 +71,7 @@ def _with_sets(lines: DataFrame, levels: Column) -> DataFrame:
 
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
     hashed = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    by_rarity = lambda table: F.transform(hashed, lambda h: F.get(table, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 4)))
+    by_rarity = lambda table: F.transform(hashed, lambda h: _level(table, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 4)))
     words = let(levels, lambda table: F.sort_array(by_rarity(table)))
     # one generated row: the words are computed once, whatever is made of them
     return lines.withColumn("words", F.explode(F.array(words))).drop("line")

@@ -1,5 +1,8 @@
+import math
 import random
 
+from pyspark.sql import functions as F
+
 from lexigauge.llm import line_dedup
 
 
@@ -56,3 +59,15 @@ def test_repeated_rows_and_none(spark):
     got = sorted(((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(docs).collect()), key=str)
     assert got == [(1, "a b c"), (1, "a b c"), (2, "d"), (3, "r\n"), (None, "p q"), (None, "r s")]
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_levels_are_packed(spark):
+    """Every plan holds the table of levels: 16 buckets share a long."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i))) for i in range(1, 40)], "doc_id long, text string")
+    levels = line_dedup._levels(docs)
+    assert spark.range(1).select(F.size(levels)).first()[0] == line_dedup.BUCKETS // 16
+    of = lambda w: F.shiftright(line_dedup._level(levels, F.xxhash64(F.lit(w)).bitwiseAND(F.lit(line_dedup.BUCKETS - 1).cast("long")).cast("int")), 60)
+    mean = sum(range(1, 40)) / line_dedup.BUCKETS
+    for word, n in (("w0", 39), ("w20", 19), ("w38", 1)):
+        want = min(max(math.floor(math.log2(n / mean)) + 4, 0), 15) - 8
+        assert spark.range(1).select(of(word)).first()[0] == want
