@@ -5,9 +5,12 @@ similarity of their sets is 0.8 or more. A line is removed if a line before it,
 (by doc_id) or earlier in its own, matches it; lines are judged on the input, removed ones count as
 well. Blank lines have no words and stay.
 
-Lines with equal sets are one set that first stands at one place. The words of a set are put in
-order of rarity, and only the prefix of the rarest is joined: a set of s words that shares 0.8 with
-another shares one of its s - ceil(0.8 s) + 1 rarest. Pairs that meet there must pass the length filter
+Lines with equal sets are one set that first stands at one place. Each set is first compared with the
+one set that stands first among those it shares a key with; most near copies match it and are settled,
+so a group of n takes n pairs. What stays open is found by a join with all sets:
+the words of a set are put in order of rarity, and only the prefix of the rarest is joined: a set of s
+words that shares 0.8 with another shares one of its s - ceil(0.8 s) + 1 rarest. Lists are kept by word
+and class of size, a smaller set also one class up. Pairs that meet there must pass the length filter
 and the positional filter (what may still follow in both after their first common word), and the parities of 128 bits into which each word puts one must not differ in more
 bits than the sets may in words; then the whole sets are compared.
 Rarity is the corpus count of a word's hash bucket, of which there is a fixed number; any common
@@ -19,6 +22,8 @@ texts, those that share the text as well are one document; null ids come first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,12 @@ SIMILARITY = 0.8
 #: Counters of words, a power of two; their number does not grow with the data.
 BUCKETS = 1 << 16
 BROADCAST_ROWS = 200_000
+#: Keys or ids (longs) that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Words from which on a set is looked up by its parities, where few edits leave most bits, not by its rarest words.
+LARGE = 32
+#: Where a line stands; places sort as lines do.
+PLACE = ("doc_id", "tie", "line_no")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -82,8 +93,8 @@ def _need(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil((a + b) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
 
 
-def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, tie, line_no, removed) of every line with words; tie: xxhash64 of the text."""
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, tie, line_no) of every line that matches one before it; tie: xxhash64 of the text."""
     docs = docs.select("doc_id", "text")
     levels = _levels(docs)
     size = F.size("words")
@@ -96,68 +107,126 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     parities = [F.aggregate(half(bit), F.lit(0).cast("long"), flip).alias(name) for bit, name in ((0, "even"), (64, "odd"))]
     # two hashes of the whole set: 128 bits name it
     named = _with_sets(_lines(docs), levels).select(
-        "doc_id", "tie", "line_no", size.alias("size"), *parities, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.transform(prefix, short).alias("prefix")
+        *PLACE, size.alias("size"), *parities, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.transform(prefix, short).alias("prefix")
     )
     lines = materialize(named, "lines")
-    place = F.struct("doc_id", "tie", "line_no")
-    sets = lines.groupBy("k1", "k2", "size").agg(F.min(place).alias("place"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets.select("k1", "k2", "size", "place.*", "even", "odd", "prefix"), "sets")
-    # both sides of the join are the same rows, so they are shuffled once
-    listed = sets.select("doc_id", "tie", "line_no", "size", "even", "odd", F.posexplode("prefix").alias("at", "word"))
-    pairs = materialize(_filtered(listed, similarity), "candidates")
-    matched = _matched(docs, levels, pairs, similarity)
-    named = sets.select("k1", "k2", "size", place.alias("place"))
-    later = named.join(matched.withColumn("found", F.lit(True)), "place", "left").select("k1", "k2", "size", "place", "found")
-    return lines.join(later, ["k1", "k2", "size"]).select("doc_id", "tie", "line_no", (F.col("found").isNotNull() | (place != F.col("place"))).alias("removed"))
-
-
-def _filtered(listed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, apart): places of sets that meet in a list and pass the length, the positional and the parity filter, the earlier first."""
+    place = F.struct(*PLACE)
+    sets = lines.groupBy("k1", "k2", "size").agg(
+        F.min(place).alias("place"), F.count("*").alias("copies"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")
+    )
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "size", "copies", "place.*", "even", "odd", "prefix"), "sets")
+    # a smaller set matches none but its equals: one word more is too many
+    able = sets.filter(F.col("size") >= (F.col("size") + 1) * F.lit(similarity) - F.lit(1e-9))
+    first = materialize(_verified(docs, _with_first(able, similarity), similarity), "matched_first")
+    second = _verified(docs, _with_any(able, first, similarity), similarity)
+    matched = first.union(second).withColumn("found", F.lit(True))
+    later = sets.join(matched, "id", "left").filter((F.col("copies") > 1) | F.col("found")).select("k1", "k2", "size", place.alias("place"), "found")
+    removed = lines.join(later, ["k1", "k2", "size"]).filter(F.col("found").isNotNull() | (place != F.col("place")))
+    return removed.select(*PLACE)
+
+
+def _may_match(x, y, similarity: float) -> tuple[Column, Column]:
+    """The length and the parity filter for two sets, and by how many bits their parities differ."""
+    apart = F.bit_count(x("even").bitwiseXOR(y("even"))) + F.bit_count(x("odd").bitwiseXOR(y("odd")))
+    alike = F.least(x("size"), y("size")) >= F.greatest(x("size"), y("size")) * F.lit(similarity) - F.lit(1e-9)
+    # each word only one has flips a bit of the parities, so they differ in no more bits than that
+    return alike & (apart <= x("size") + y("size") - 2 * _need(x("size"), y("size"), similarity)), apart
+
+
+def _class_width(similarity: float) -> float:
+    """Sets that can match are of the same class of log(size) or of neighbouring ones."""
+    return math.log(1 / similarity) + 1e-6
+
+
+def _with_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, id): for a set the likeliest of those that stand first of the sets that share a key with it, if it may match.
+
+    A set that needs only one match before it needs no other pair once this one is verified, so a group of n near
+    copies takes n pairs here and leaves few for `_with_any`, which finds the match of every other set. Keys are the
+    words of the prefix with the size; of large sets fifths of the parities, of which few edits leave one as it was.
+    """
+    size_class = F.floor(F.log("size") / F.lit(_class_width(similarity)))
+    # 26 bits four times, and the 12 left over in both halves
+    bits = lambda half, at: F.call_function("shiftrightunsigned", F.col(half), F.lit(at)).bitwiseAND(F.lit((1 << 26) - 1).cast("long"))
+    fifths = [[bits("even", 0)], [bits("even", 26)], [bits("odd", 0)], [bits("odd", 26)], [bits("even", 52), bits("odd", 52)]]
+    words = F.transform("prefix", lambda w: F.xxhash64(w, "size"))
+    parts = F.array(*[F.xxhash64(*part, F.lit(i), size_class) for i, part in enumerate(fifths)])
+    keyed = sets.select("id", *PLACE, "size", "even", "odd", F.explode(F.when(F.col("size") < LARGE, words).otherwise(parts)).alias("key"))
+    shared = materialize(keyed.select("key").groupBy("key").count().filter("count > 1").select("key"), "shared_keys")
+    keyed = materialize(keyed.join(broadcast_within(shared, BROADCAST_KEYS), "key"), "keyed")
+    place = F.struct(*PLACE)
+    firsts = keyed.groupBy("key").agg(F.min(F.struct(*PLACE, "size", "even", "odd")).alias("first"))
+    x, y = (lambda c: F.col(f"first.{c}")), F.col
+    may, apart = _may_match(x, y, similarity)
+    a = F.struct(*[x(c).alias(c) for c in PLACE])
+    pairs = keyed.join(firsts, "key").filter(may & (a < place)).select("id", place.alias("b"), a.alias("a"), apart.alias("apart"))
+    return pairs.groupBy("id", "b").agg(F.min_by("a", "apart").alias("a"))
+
+
+def _with_any(sets: DataFrame, matched: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, id): every pair of sets that share a word of their prefixes and may match, b the later one and not in `matched`."""
+    done = broadcast_within(matched, BROADCAST_KEYS).withColumn("done", F.lit(True))
+    listed = _listed(sets.join(done, "id", "left").withColumn("open", F.col("done").isNull()), similarity)
+    pairs = materialize(_meeting(listed, similarity).distinct(), "candidates")
+    placed = sets.select("id", F.struct(*PLACE).alias("place"))
+    x, y = (placed.select(F.col("id").alias(n), F.col("place").alias(f"place_{n}")) for n in "xy")
+    both = pairs.join(x, "x").join(y, "y")
+    first = F.col("place_x") < F.col("place_y")
+    one_of = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return both.filter(one_of("open_y", "open_x")).select(one_of("place_x", "place_y").alias("a"), one_of("place_y", "place_x").alias("b"), one_of("y", "x").alias("id"))
+
+
+def _listed(sets: DataFrame, similarity: float) -> DataFrame:
+    """One row for each word of the prefix of each set, listed by word and class of size (`word`).
+
+    A set is also listed one class up (`up`), with the words that it can first share with a set of that class.
+    """
+    width = _class_width(similarity)
+    size_class = F.floor(F.log("size") / F.lit(width))
+    least = F.ceil(F.exp((size_class + 1) * F.lit(width)) - F.lit(1e-6))
+    words_up = F.when(F.col("size") >= least * F.lit(similarity) - F.lit(1e-9), F.greatest(F.col("size") - _need(F.col("size"), least, similarity) + 1, F.lit(0))).otherwise(0)
+    own = sets.select("id", "doc_id", "size", "even", "odd", "open", size_class.alias("class"), "prefix", words_up.cast("int").alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+    words = F.when(F.col("up") == 0, F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), F.col("n")))
+    listed = own.select("id", "doc_id", "size", "even", "odd", "open", "up", (F.col("class") + F.col("up")).alias("class"), F.posexplode(words).alias("at", "word"))
+    return listed.withColumn("word", F.col("class") * F.lit(1 << 32) + F.col("word")).drop("class")
+
+
+def _meeting(listed: DataFrame, similarity: float) -> DataFrame:
+    """(x, y, open_x, open_y): sets that meet in a list and pass the length, the positional and the parity filter, the later one open."""
     # aliases of the tables, not of their columns: so both sides are the same exchange
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    need = _need(x("size"), y("size"), similarity)
-    apart = F.bit_count(x("even").bitwiseXOR(y("even"))) + F.bit_count(x("odd").bitwiseXOR(y("odd")))
-    a, b = (F.struct(*[of(c).alias(c) for c in ("doc_id", "tie", "line_no")]) for of in (x, y))
+    may, _ = _may_match(x, y, similarity)
+    # within a document, or where ids are null, the order is looked up later
+    later_open = F.when(x("doc_id") < y("doc_id"), y("open")).when(y("doc_id") < x("doc_id"), x("open")).otherwise(x("open") | y("open"))
     meets = (
         (x("word") == y("word"))
-        & (F.least(x("size"), y("size")) >= F.greatest(x("size"), y("size")) * F.lit(similarity) - F.lit(1e-9))
-        # each word only one has flips a bit of the parities, so they differ in no more bits than that
-        & (apart <= x("size") + y("size") - 2 * need)
+        # the smaller on the left, and it alone listed one class up
+        & ((x("size") < y("size")) | ((x("size") == y("size")) & (x("id") < y("id"))))
+        & (x("up") + y("up") < 2)
+        & later_open
+        & may
         # a pair passes at its first common word, before which neither has another
-        & (F.least(x("size") - x("at"), y("size") - y("at")) >= need)
-        & (a < b)
+        & (F.least(x("size") - x("at"), y("size") - y("at")) >= _need(x("size"), y("size"), similarity))
     )
-    return listed.alias("x").join(listed.alias("y"), meets).select(a.alias("a"), b.alias("b"), apart.alias("apart")).distinct()
-
-
-def _matched(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: float) -> DataFrame:
-    """(place) of the sets that match one before them.
-
-    A set that is most like an earlier one mostly matches it, so that pair is verified first; the other pairs only
-    of sets that it leaves open.
-    """
-    likely = pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a"))
-    first = materialize(_verified(docs, levels, likely, similarity), "matched_first")
-    others = materialize(pairs.join(first.withColumnRenamed("place", "b"), "b", "left_anti").select("a", "b"), "open")
-    second = materialize(_verified(docs, levels, others, similarity), "matched_second")
-    return first.union(second)
+    return listed.alias("x").join(listed.alias("y"), meets).select(x("id").alias("x"), y("id").alias("y"), x("open").alias("open_x"), y("open").alias("open_y"))
 
 
-def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, similarity: float) -> DataFrame:
-    """(place) of the sets that match one before them."""
-    pairs = materialize(pairs, "candidates")
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(id) of the sets `b` that match a set `a` before them."""
+    pairs = materialize(pairs, "pairs")
     places = pairs.select(F.col("a").alias("place")).union(pairs.select(F.col("b").alias("place"))).distinct()
-    wanted = materialize(places.select("place.doc_id", "place.tie", "place.line_no"), "places")
+    wanted = materialize(places.select("place.*"), "places")
     only = broadcast_within(wanted, BROADCAST_ROWS)
     same = lambda l, r: l["doc_id"].eqNullSafe(r["doc_id"]) & (l["tie"] == r["tie"]) & (l["line_no"] == r["line_no"])
     rows = _lines(docs)
     rows = rows.join(only, same(rows, only), "left_semi")
-    words = _with_sets(rows, levels).select(F.struct("doc_id", "tie", "line_no").alias("place"), "words")
-    words = materialize(words, "words")
+    # the hashes need no order here; one generated row: the words are computed once
+    words = F.explode(F.array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))))
+    words = materialize(rows.select(F.struct(*PLACE).alias("place"), words.alias("words")), "words")
     a, b = words.select(F.col("place").alias("a"), F.col("words").alias("x")), words.select(F.col("place").alias("b"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     matches = pairs.join(a, "a").join(b, "b").filter(both >= _need(F.size("x"), F.size("y"), similarity))
-    return matches.select(F.col("b").alias("place")).distinct()
+    return matches.select("id").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -166,7 +235,7 @@ def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> Data
 
 
 def _without_lines(docs: DataFrame, similarity: float) -> DataFrame:
-    gone = marked_lines(docs, similarity).filter("removed").groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone"))
+    gone = repeated_lines(docs, similarity).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_gone")
     rest = docs.drop("n_lines", "n_removed")
     tie = F.xxhash64(F.coalesce(rest["text"], F.lit("")))

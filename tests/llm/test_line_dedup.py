@@ -71,3 +71,27 @@ def test_levels_are_packed(spark):
     for word, n in (("w0", 39), ("w20", 19), ("w38", 1)):
         want = min(max(math.floor(math.log2(n / mean)) + 4, 0), 15) - 8
         assert spark.range(1).select(of(word)).first()[0] == want
+
+
+def test_near_copies_take_few_pairs(spark, monkeypatch):
+    """A group of n near copies is settled by its first, not by all n * n / 2 pairs; sets of all classes of size meet."""
+    tables, write = [], line_dedup.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    rnd = random.Random(5)
+    long, short, nested = ([f"{n}{rnd.randrange(10**6)}" for _ in range(k)] for n, k in (("a", 40), ("b", 12), ("c", 70)))
+    edited = lambda base, i: " ".join(f"new{i}" if j == i % len(base) else w for j, w in enumerate(base))
+    lines = [edited(base, i) for base in (long, short) for i in range(150)] + [" ".join(nested[:k]) for k in range(3, 70, 2)]
+    rnd.shuffle(lines)
+    rows = list(enumerate(lines))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit, raising=False)
+        got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_lines(docs).collect()]
+        assert sorted(got) == plain(rows)
+    assert max(tables) <= 8 * len(rows)
