@@ -142,14 +142,15 @@ def _with_first(sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b, id): for a set the likeliest of those that stand first of the sets that share a key with it, if it may match.
 
     A set that needs only one match before it needs no other pair once this one is verified, so a group of n near
-    copies takes n pairs here and leaves few for `_with_any`, which finds the match of every other set. Keys are the
+    copies takes n pairs here and leaves few for `_with_any`, which finds the match of every other set. Keys are
     words of the prefix with the size; of large sets fifths of the parities, of which few edits leave one as it was.
     """
     size_class = F.floor(F.log("size") / F.lit(_class_width(similarity)))
     # 26 bits four times, and the 12 left over in both halves
     bits = lambda half, at: F.call_function("shiftrightunsigned", F.col(half), F.lit(at)).bitwiseAND(F.lit((1 << 26) - 1).cast("long"))
     fifths = [[bits("even", 0)], [bits("even", 26)], [bits("odd", 0)], [bits("odd", 26)], [bits("even", 52), bits("odd", 52)]]
-    words = F.transform("prefix", lambda w: F.xxhash64(w, "size"))
+    # rare words of its own come first, so the last two of the prefix
+    words = F.transform(F.slice(F.reverse("prefix"), F.lit(1), F.lit(2)), lambda w: F.xxhash64(w, "size"))
     parts = F.array(*[F.xxhash64(*part, F.lit(i), size_class) for i, part in enumerate(fifths)])
     keyed = sets.select("id", *PLACE, "size", "even", "odd", F.explode(F.when(F.col("size") < LARGE, words).otherwise(parts)).alias("key"))
     shared = materialize(keyed.select("key").groupBy("key").count().filter("count > 1").select("key"), "shared_keys")
@@ -179,7 +180,8 @@ def _with_any(sets: DataFrame, matched: DataFrame, similarity: float) -> DataFra
 def _listed(sets: DataFrame, similarity: float) -> DataFrame:
     """One row for each word of the prefix of each set, listed by word and class of size (`word`).
 
-    A set is also listed one class up (`up`), with the words that it can first share with a set of that class.
+    A set is also listed one class up, with the words that it can first share with a set of that class.
+    This table is the largest of all, so small numbers share a long (`packed`): size, place in the prefix, up, open.
     """
     width = _class_width(similarity)
     size_class = F.floor(F.log("size") / F.lit(width))
@@ -188,13 +190,22 @@ def _listed(sets: DataFrame, similarity: float) -> DataFrame:
     own = sets.select("id", "doc_id", "size", "even", "odd", "open", size_class.alias("class"), "prefix", words_up.cast("int").alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
     words = F.when(F.col("up") == 0, F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), F.col("n")))
     listed = own.select("id", "doc_id", "size", "even", "odd", "open", "up", (F.col("class") + F.col("up")).alias("class"), F.posexplode(words).alias("at", "word"))
-    return listed.withColumn("word", F.col("class") * F.lit(1 << 32) + F.col("word")).drop("class")
+    packed = F.col("size") * F.lit(1 << 32) + F.col("at") * 4 + F.col("up") * 2 + F.col("open").cast("int")
+    return listed.select("id", "doc_id", "even", "odd", packed.alias("packed"), (F.col("class") * F.lit(1 << 32) + F.col("word")).alias("word"))
+
+
+def _unpacked(side: str):
+    """The columns of a listed set by name."""
+    packed = F.col(f"{side}.packed")
+    bits = lambda n: packed.bitwiseAND(F.lit(n).cast("long"))
+    made = {"size": F.shiftright(packed, 32), "at": F.shiftright(bits((1 << 32) - 1), 2), "up": bits(2), "open": bits(1) == 1}
+    return lambda c: made[c] if c in made else F.col(f"{side}.{c}")
 
 
 def _meeting(listed: DataFrame, similarity: float) -> DataFrame:
     """(x, y, open_x, open_y): sets that meet in a list and pass the length, the positional and the parity filter, the later one open."""
     # aliases of the tables, not of their columns: so both sides are the same exchange
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    x, y = _unpacked("x"), _unpacked("y")
     may, _ = _may_match(x, y, similarity)
     # within a document, or where ids are null, the order is looked up later
     later_open = F.when(x("doc_id") < y("doc_id"), y("open")).when(y("doc_id") < x("doc_id"), x("open")).otherwise(x("open") | y("open"))
@@ -202,7 +213,7 @@ def _meeting(listed: DataFrame, similarity: float) -> DataFrame:
         (x("word") == y("word"))
         # the smaller on the left, and it alone listed one class up
         & ((x("size") < y("size")) | ((x("size") == y("size")) & (x("id") < y("id"))))
-        & (x("up") + y("up") < 2)
+        & (x("up") + y("up") < 4)
         & later_open
         & may
         # a pair passes at its first common word, before which neither has another
