@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within, materialize
-from .common import carried, constant_longs, let
+from .common import carried, constant_longs
 
 SIMILARITY = 0.8
 #: Counters of words, a power of two; their number does not grow with the data.
@@ -48,10 +48,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.filter(F.col("line").rlike("\\S"))
 
 
-def _words(line: Column) -> Column:
-    """The lower-case words of a line; a cut at one plain blank is much faster than at a pattern."""
+def _pieces(line: Column) -> Column:
+    """The lower-case words of a line, with empty ones between blanks; a cut at one plain blank is much faster than at a pattern."""
     plain = F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
-    return F.array_remove(F.split(F.lower(plain), " "), "")
+    return F.split(F.lower(plain), " ")
+
+
+def _hashes(line: Column) -> Column:
+    """The distinct words of a line as hashes; the empty one is dropped as a number, which needs no comparison of texts."""
+    return F.array_remove(F.array_distinct(F.transform(_pieces(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _levels(docs: DataFrame) -> Column:
@@ -59,12 +64,15 @@ def _levels(docs: DataFrame) -> Column:
 
     Every plan that looks words up holds this table, and the driver holds the plans.
     """
-    words = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
+    # words do not cross lines, so those of whole texts are the same
+    whole = F.replace("text", F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(_pieces(whole)).alias("w")).filter("w != ''")
     hashed = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket"))
     counts = materialize(hashed.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
     mean = (counts.agg(F.sum("n")).first()[0] or 1) / BUCKETS
     level = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean))) + 4, F.lit(0)), F.lit(15)).cast("long")
-    place = (F.col("bucket") % 16 * 4).cast("int")
+    # the first of a word's 16 in its top bits
+    place = (60 - F.col("bucket") % 16 * 4).cast("int")
     # as the top bits of a long they sort as numbers from -8 to 7
     bits = F.call_function("shiftleft", level.bitwiseXOR(F.lit(8).cast("long")), place)
     packed = counts.groupBy(F.shiftright("bucket", 4).cast("int")).agg(F.bit_or(bits))
@@ -72,20 +80,30 @@ def _levels(docs: DataFrame) -> Column:
 
 
 def _level(table: Column, bucket: Column) -> Column:
-    """The level of a bucket as the top bits of a long."""
+    """A long with the level of a bucket as its top bits, the others given by the bucket: a shift of a long counts modulo 64."""
     word = F.get(table, F.shiftright(bucket, 4))
-    return F.shiftleft(F.call_function("shiftrightunsigned", word, bucket.bitwiseAND(F.lit(15)) * 4), 60)
+    # an array that can't hold nulls is sorted as plain numbers
+    return F.coalesce(F.call_function("shiftleft", word, bucket * 4), F.lit(0).cast("long"))
 
 
 def _with_sets(lines: DataFrame, levels: Column) -> DataFrame:
-    """`lines` with `words`: the distinct words as longs that sort by rarity, 4 bits of level and 60 of hash."""
+    """Place, `size`, two hashes of the whole set, which name it by 128 bits, and the words as numbers: `low` and `high`.
 
+    A word's number sorts by rarity: 4 bits of level, then 28 of its hash, some flipped as the bucket says. 28 bits do
+    for the lists: words that share them only add candidates. `low` has the words with negative hashes.
+    """
+    # what stands in a generator or under a lambda function is interpreted, so each step is a projection of its own;
+    # Spark leaves those apart whose columns are used twice
+    zero = F.lit(0).cast("long")
+    hashed = lines.select(*PLACE, F.sort_array(F.concat(F.array(zero), _hashes(F.col("line")))).alias("hashes"))
+    zero_at = F.array_position("hashes", zero).cast("int")
+    halves = {"low": F.slice("hashes", F.lit(1), zero_at - 1), "high": F.slice("hashes", zero_at + 1, F.size("hashes"))}
+    cut = hashed.select(
+        *PLACE, F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), *[half.alias(name) for name, half in halves.items()]
+    )
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    hashed = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    by_rarity = lambda table: F.transform(hashed, lambda h: _level(table, bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 4)))
-    words = let(levels, lambda table: F.sort_array(by_rarity(table)))
-    # one generated row: the words are computed once, whatever is made of them
-    return lines.withColumn("words", F.explode(F.array(words))).drop("line")
+    number = lambda h: F.shiftright(_level(levels, bucket(h)).bitwiseXOR(F.shiftrightunsigned(h, 4)), 32).cast("int")
+    return cut.select(*PLACE, "k1", "k2", (F.size("low") + F.size("high")).alias("size"), *[F.transform(name, number).alias(name) for name in halves])
 
 
 def _need(a: Column, b: Column, similarity: float) -> Column:
@@ -97,18 +115,13 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(doc_id, tie, line_no) of every line that matches one before it; tie: xxhash64 of the text."""
     docs = docs.select("doc_id", "text")
     levels = _levels(docs)
-    size = F.size("words")
-    # 32 bits of a word do for the lists: words that share them only add candidates
-    short = lambda w: F.call_function("shiftright", w, F.lit(32)).cast("int")
-    prefix = F.slice("words", F.lit(1), size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
-    one = F.lit(1).cast("long")
-    flip = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int")))
-    half = lambda bit: F.filter("words", lambda w: w.bitwiseAND(F.lit(64).cast("long")) == bit)
-    parities = [F.aggregate(half(bit), F.lit(0).cast("long"), flip).alias(name) for bit, name in ((0, "even"), (64, "odd"))]
-    # two hashes of the whole set: 128 bits name it
-    named = _with_sets(_lines(docs), levels).select(
-        *PLACE, size.alias("size"), *parities, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.transform(prefix, short).alias("prefix")
-    )
+    size = F.col("size")
+    n = size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
+    prefix = F.slice(F.sort_array(F.concat("low", "high")), F.lit(1), n)
+    # a shift of a long counts modulo 64
+    flip = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w))
+    parities = [F.aggregate(half, F.lit(0).cast("long"), flip).alias(name) for half, name in (("low", "even"), ("high", "odd"))]
+    named = _with_sets(_lines(docs), levels).select(*PLACE, "size", *parities, "k1", "k2", prefix.alias("prefix"))
     lines = materialize(named, "lines")
     place = F.struct(*PLACE)
     sets = lines.groupBy("k1", "k2", "size").agg(
@@ -119,7 +132,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     able = sets.filter(F.col("size") >= (F.col("size") + 1) * F.lit(similarity) - F.lit(1e-9))
     first = materialize(_verified(docs, _with_first(able, similarity), similarity), "matched_first")
     second = _verified(docs, _with_any(able, first, similarity), similarity)
-    matched = first.union(second).withColumn("found", F.lit(True))
+    matched = broadcast_within(materialize(first.union(second), "matched"), BROADCAST_KEYS).withColumn("found", F.lit(True))
     later = sets.join(matched, "id", "left").filter((F.col("copies") > 1) | F.col("found")).select("k1", "k2", "size", place.alias("place"), "found")
     removed = lines.join(later, ["k1", "k2", "size"]).filter(F.col("found").isNotNull() | (place != F.col("place")))
     return removed.select(*PLACE)
@@ -214,10 +227,10 @@ def _meeting(listed: DataFrame, similarity: float) -> DataFrame:
         # the smaller on the left, and it alone listed one class up
         & ((x("size") < y("size")) | ((x("size") == y("size")) & (x("id") < y("id"))))
         & (x("up") + y("up") < 4)
-        & later_open
         & may
         # a pair passes at its first common word, before which neither has another
         & (F.least(x("size") - x("at"), y("size") - y("at")) >= _need(x("size"), y("size"), similarity))
+        & later_open
     )
     return listed.alias("x").join(listed.alias("y"), meets).select(x("id").alias("x"), y("id").alias("y"), x("open").alias("open_x"), y("open").alias("open_y"))
 
@@ -232,7 +245,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     rows = _lines(docs)
     rows = rows.join(only, same(rows, only), "left_semi")
     # the hashes need no order here; one generated row: the words are computed once
-    words = F.explode(F.array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))))
+    words = F.explode(F.array(_hashes(F.col("line"))))
     words = materialize(rows.select(F.struct(*PLACE).alias("place"), words.alias("words")), "words")
     a, b = words.select(F.col("place").alias("a"), F.col("words").alias("x")), words.select(F.col("place").alias("b"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -247,7 +260,10 @@ def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> Data
 
 def _without_lines(docs: DataFrame, similarity: float) -> DataFrame:
     gone = repeated_lines(docs, similarity).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_gone")
+    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_gone"), "gone")
+    # few lines are sent to where the texts are; else the texts are shuffled
+    if (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     rest = docs.drop("n_lines", "n_removed")
     tie = F.xxhash64(F.coalesce(rest["text"], F.lit("")))
     rows = rest.join(gone, rest["doc_id"].eqNullSafe(F.col("_id")) & (tie == F.col("_tie")), "left").drop("_id", "_tie")

@@ -95,3 +95,32 @@ def test_near_copies_take_few_pairs(spark, monkeypatch):
         got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_lines(docs).collect()]
         assert sorted(got) == plain(rows)
     assert max(tables) <= 8 * len(rows)
+
+
+def test_little_is_interpreted(spark, monkeypatch):
+    """No lambda function stands in the generators of all lines, and no text is cut into lines to count words or shuffled to lose few lines."""
+    plans, write = {}, line_dedup.materialize
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    rows = [(1, "a  b\tc d e\nx y z"), (2, "E d c\x0bB a\nf"), (3, "a b c d e f"), (4, " \n"), (5, None), (6, "F")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.drop_repeated_lines(docs)
+        got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()]
+        last = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(got) == plain(rows)
+    generators = [line for line in plans["lines"].splitlines() if "Generate " in line]
+    assert generators and not any("lambdafunction" in line for line in generators)
+    assert "posexplode" not in plans["counts"]
+    assert "SortMergeJoin" not in last
+    # arrays that can't hold nulls are sorted as plain numbers
+    sets = line_dedup._with_sets(line_dedup._lines(docs), line_dedup._levels(docs))
+    assert not sets.schema["low"].dataType.containsNull
