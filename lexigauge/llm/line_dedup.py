@@ -64,9 +64,7 @@ def _levels(docs: DataFrame) -> Column:
 
     Every plan that looks words up holds this table, and the driver holds the plans.
     """
-    # words do not cross lines, so those of whole texts are the same
-    whole = F.replace("text", F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(_pieces(whole)).alias("w")).filter("w != ''")
+    words = _lines(docs).select(F.explode(F.array_remove(_pieces(F.col("line")), "")).alias("w"))
     hashed = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket"))
     counts = materialize(hashed.groupBy("bucket").agg(F.count("*").alias("n")), "counts")
     mean = (counts.agg(F.sum("n")).first()[0] or 1) / BUCKETS
