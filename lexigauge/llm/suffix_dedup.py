@@ -10,14 +10,16 @@ corpus are compared, in groups of one gram. A record is a run of neighbouring su
 and the bytes they span. In a group
 
 1. records with equal bytes are one, the first; in the others all is repeated,
-2. the suffixes of the different ones are sorted by a merge sort. Two are compared by their common
+2. the suffixes of the different ones are sorted by a merge sort, from runs of one hash on (suffixes
+   whose hash no other has can't be repeated and are left out). Two are compared by their common
    extension, which a binary search over prefix polynomial hashes finds in seven steps, and the byte
    behind it. Neighbours that share 100 bytes are verified byte by byte; of each class the first
    stays.
 
-Which grams occur again is kept in bits of a fixed number (false hits cost time only). Grams with
-more than HOT records are spread out: their strings, named by two independent 64-bit hashes, are
-grouped one by one, which is exact as well and puts no group into one task.
+Which grams occur again is kept in bits whose number grows with that of the grams, up to 64 MB (false
+hits cost time only). Grams with more than HOT records are spread out: where a task has met the bytes of
+a record or string before, at an earlier place, the later is settled there; of the others every string
+is a record of its own, grouped by its hash, so neither a gram nor a common string makes a large group.
 
 Rows that share doc_id and text are one document. A null text is empty, a null doc_id comes before all
 others. Texts under 100 bytes stay whole. Other columns are kept; the result's columns replace any of
@@ -39,12 +41,20 @@ from .common import arrow_rows, arrow_schema, carried, small_batches, text_of, w
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
-#: Bits that tell which grams occur again, and which are hot.
-KNOWN_BITS, HOT_BITS = 1 << 24, 1 << 20
+#: Bits for each gram that occurs again, and how many bits there are at least and at most.
+GRAM_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+#: Bits of one row of the table that the bits are collected from.
+ROW_BITS = 1 << 15
 HOT = 50_000
+#: Records and strings of hot grams that a task remembers.
+REMEMBERED = 1 << 16
+#: In place of an offset: the run repeats what its task has met before.
+SETTLED = -1
 #: Bytes of records that one group of grams should hold.
 GROUP_BYTES = 4 << 20
 CHUNK = 1 << 20
+#: Bytes of short texts that are hashed together.
+PACK = 1 << 16
 NO_ID = -(1 << 63)
 
 _RNG = np.random.default_rng(7)
@@ -81,9 +91,11 @@ class Hashes:
         count = len(self.sums) - n
         return mixed((self.sums[n:] - self.sums[:-n]) * self.inverse[:count])
 
+    def of(self, a, local, n) -> np.ndarray:
+        return (self.sums[a + n] - self.sums[a]) * self.inverse[local]
+
     def same(self, a, b, a_local, b_local, n) -> np.ndarray:
-        left = (self.sums[a + n] - self.sums[a]) * self.inverse[a_local]
-        return left == (self.sums[b + n] - self.sums[b]) * self.inverse[b_local]
+        return self.of(a, a_local, n) == self.of(b, b_local, n)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -91,8 +103,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first start, number of starts, anchor - first start) of the runs of a stretch of at most CHUNK starts."""
+def anchors(data: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first start, number of starts, anchor - first start) of the runs of a stretch of at most CHUNK starts.
+
+    ends: where each of several stretches ends that lie in `data` behind one another; no run spans two.
+    """
     grams = Hashes(data).all_of(GRAM)
     low = np.uint64((1 << 24) - 1)
     keys = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -104,8 +119,16 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     count = len(data) - LENGTH + 1
     at = (np.minimum(back[:count], ahead[WINDOW - 1 : WINDOW - 1 + count]) & low).astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    number = np.diff(np.append(first, count))
+    if ends is None or len(ends) == 1:
+        first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        number = np.diff(np.append(first, count))
+    else:
+        whole = np.ones(len(data), bool)
+        whole[(ends[:, None] - np.arange(1, LENGTH)).ravel()] = False
+        starts = np.flatnonzero(whole[:count])
+        at_start = at[starts]
+        edge = np.concatenate(([0], np.flatnonzero(at_start[1:] != at_start[:-1]) + 1))
+        first, number = starts[edge], np.diff(np.append(edge, len(starts)))
     anchor = at[first]
     return grams[anchor].view(np.int64), first, number, anchor - first
 
@@ -117,26 +140,64 @@ def stretches(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
         yield a, data[a : a + CHUNK + LENGTH - 1]
 
 
+def packs(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, row, start, end): stretches of texts put together, with the row, the start in its text and the end of each."""
+    rows, starts, parts, size = [], [], [], 0
+
+    def pack():
+        return np.concatenate(parts), np.array(rows), np.array(starts), np.cumsum([len(p) for p in parts])
+
+    for row, text in enumerate(texts):
+        for a, data in stretches(text):
+            if parts and size + len(data) > PACK:
+                yield pack()
+                rows, starts, parts, size = [], [], [], 0
+            rows.append(row)
+            starts.append(a)
+            parts.append(data)
+            size += len(data)
+    if parts:
+        yield pack()
+
+
+def pieces(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray):
+    """An Arrow array of the bytes from each `begin` on."""
+    import pyarrow as pa
+
+    ends = np.cumsum(lengths)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    raw = data[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], lengths)]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
 def merge_sort(data: np.ndarray, at: np.ndarray, local: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes in each segment (segments lie together), and each one's extension with the one before it.
+    """Order of the suffixes in each segment, and whether each equals the one before it over LENGTH bytes.
 
-    Equal suffixes keep their order. All segments are merged at once: in a round, blocks of `width`
-    become blocks of twice that, and an element's new place is its own plus its rank in the other block.
+    Suffixes whose hash over LENGTH bytes no other of the segment has are left out. Those of one hash are
+    a run that is in order from the start (equal suffixes keep their order), so a run moves as its first
+    suffix does. All segments are merged at once: in a round, blocks of `width` runs become blocks of
+    twice that, and a run's new place is its own plus its rank in the other block.
     """
-    hashes, n = Hashes(data, local), len(at)
-    begin = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+    hashes = Hashes(data, local)
+    whole = mixed(hashes.of(at, local[at], LENGTH) + segment.astype(np.uint64) * np.uint64(_BASES[0] & _MASK))
+    together = np.argsort(whole, kind="stable")
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(whole[together]) != 0)), len(at))
+    run = np.flatnonzero(np.diff(edges) > 1)
+    run = run[np.argsort(segment[together[edges[run]]], kind="stable")]
+    lead = together[edges[run]]
+    n, lead_at, lead_local, lead_segment = len(run), at[lead], local[at[lead]], segment[lead]
+    begin = np.flatnonzero(np.append(True, lead_segment[1:] != lead_segment[:-1])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begin, n))
     head, stop = np.repeat(begin, sizes), np.repeat(begin + sizes, sizes)
-    start_local = local[at]
     order = np.arange(n)
 
     def extension(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common bytes of the suffixes a and b, at most LENGTH."""
+        """Common bytes of the first suffixes of the runs a and b, at most LENGTH."""
         out = np.zeros(len(a), np.int64)
+        x, y, x_local, y_local = lead_at[a], lead_at[b], lead_local[a], lead_local[b]
         for step in (64, 32, 16, 8, 4, 2, 1):
-            fits = out + step <= LENGTH
-            x, y = at[a] + np.where(fits, out, 0), at[b] + np.where(fits, out, 0)
-            same = fits & hashes.same(x, y, start_local[a] + np.where(fits, out, 0), start_local[b] + np.where(fits, out, 0), step)
+            more = np.where(out + step <= LENGTH, out, 0)
+            same = (more == out) & hashes.same(x + more, y + more, x_local + more, y_local + more, step)
             out += step * same
         return out
 
@@ -145,39 +206,45 @@ def merge_sort(data: np.ndarray, at: np.ndarray, local: np.ndarray, segment: np.
         e = extension(a, b)
         equal = e == LENGTH
         e = np.where(equal, 0, e)
-        return np.where(equal, ties, data[at[a] + e] < data[at[b] + e])
+        return np.where(equal, ties, data[lead_at[a] + e] < data[lead_at[b] + e])
 
-    width = 1
+    width, place = 1, np.arange(n)
     while width < sizes.max(initial=0):
-        place = np.arange(n)
-        block = (place - head) // width
+        # segments of one block are done
+        place = place[(stop - head)[place] > width]
+        own_head, own_stop = head[place], stop[place]
+        block = (place - own_head) // width
         right = block % 2 == 1
-        low = np.minimum(head + (block ^ 1) * width, stop)
-        high = np.minimum(low + width, stop)
-        origin, rank_from = np.where(right, low, head + block * width), low.copy()
+        low = np.minimum(own_head + (block ^ 1) * width, own_stop)
+        high = np.minimum(low + width, own_stop)
+        own = own_head + block * width
+        origin, rank_from = np.where(right, low, own), low.copy()
         active = np.flatnonzero(low < high)
         while len(active):
             middle = (low[active] + high[active]) // 2
-            less = before(order[middle], order[active], right[active])
+            less = before(order[middle], order[place[active]], right[active])
             low[active[less]] = middle[less] + 1
             high[active[~less]] = middle[~less]
             active = active[low[active] < high[active]]
-        own = place - (head + block * width)
-        new = np.empty(n, np.int64)
-        new[origin + own + (low - rank_from)] = order
-        order, width = new, width * 2
-    shared = np.zeros(n, np.int64)
-    if n > 1:
-        shared[1:] = extension(order[:-1], order[1:])
-        shared[begin] = 0
-    return order, shared
+        moved = order[place]
+        order[origin + (place - own) + (low - rank_from)] = moved
+        width *= 2
+    run = run[order]
+    members = np.diff(edges)[run]
+    inside = np.arange(members.sum()) - np.repeat(np.cumsum(members) - members, members)
+    order = together[np.repeat(edges[run], members) + inside]
+    equal = np.zeros(len(order), bool)
+    if len(order):
+        a, b = order[:-1], order[1:]
+        equal[1:] = hashes.same(at[a], at[b], local[at[a]], local[at[b]], LENGTH) & (segment[a] == segment[b])
+    return order, equal
 
 
 def repeated(data: np.ndarray, at: np.ndarray, local: np.ndarray, segment: np.ndarray) -> np.ndarray:
     """Whether each suffix is equal over LENGTH bytes to one before it in its segment."""
-    order, shared = merge_sort(data, at, local, segment)
+    order, equal = merge_sort(data, at, local, segment)
     out = np.zeros(len(at), bool)
-    again = np.flatnonzero(shared >= LENGTH)
+    again = np.flatnonzero(equal)
     for part in np.array_split(again, max(1, len(again) // 20_000)):
         span = np.arange(LENGTH)
         a, b = data[at[order[part - 1]][:, None] + span], data[at[order[part]][:, None] + span]
@@ -217,7 +284,8 @@ def group_repeats(gram, doc, tie, first, number, offset, spans) -> tuple[np.ndar
     if len(rest):
         # suffixes in the order of documents within a segment: a gram and the anchor's offset in the suffix
         taken = spans.take(rest)
-        raw = np.frombuffer(b"".join(taken.to_pylist()), np.uint8)
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+        raw = np.frombuffer(taken.buffers()[2], np.uint8)[ends[0] : ends[-1]]
         lengths = number[rest] + LENGTH - 1
         begin = np.cumsum(lengths) - lengths
         local = np.arange(len(raw)) - np.repeat(begin, lengths)
@@ -239,20 +307,59 @@ def group_repeats(gram, doc, tie, first, number, offset, spans) -> tuple[np.ndar
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def _bits(table: DataFrame, size: int) -> np.ndarray:
-    """A bit for each gram of the table, in `size` bits: at most size / 64 rows reach the driver."""
-    bit = table.select(F.pmod("gram", F.lit(size)).alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("at"))
-    rows = bit.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")).toPandas()
-    out = np.zeros(size // 64, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if size <= HOT_BITS else out
+def _bits(table: DataFrame, n: int) -> np.ndarray:
+    """Bits of which each of the n grams of the table sets one, GRAM_BITS a gram as long as there are not over MOST_BITS."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (n * GRAM_BITS - 1).bit_length()))
+    bit = F.col("gram").bitwiseAND(F.lit(size - 1))
+    at, bit = F.shiftright(bit, ROW_BITS.bit_length() - 1), bit.bitwiseAND(F.lit(ROW_BITS - 1))
+    # dealt out first: else each task would send a row of bits for each gram or so
+    dealt = table.select(at.alias("at"), bit.alias("bit")).repartition("at")
+    out = np.zeros(size // 8, np.uint8).reshape(-1, ROW_BITS // 8)
+    for row in dealt.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[row["at"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _has(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    at = gram & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+class Met:
+    """What a task has seen of hot grams: bytes, and the earliest place (doc, tie, start) that they start at."""
 
+    def __init__(self, most: int):
+        self.most, self.places = most, {}
 
-def _has(bits: np.ndarray, gram: np.ndarray, size: int) -> np.ndarray:
-    at = gram.view(np.uint64) % np.uint64(size)
-    if bits.dtype == bool:
-        return bits[at]
-    return (bits.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    def earlier(self, key, place: tuple[int, int, int]) -> bool:
+        """Whether `key` was met at an earlier place; if not, `place` is its earliest now."""
+        known = self.places.get(key)
+        if known is not None and known < place:
+            return True
+        if known is None and len(self.places) >= self.most:
+            self.places.clear()
+        self.places[key] = place
+        return False
+
+
+def hot_rows(data: np.ndarray, places: list, gram: np.ndarray, first: np.ndarray, number: np.ndarray, offset: np.ndarray, met: tuple[Met, Met]):
+    """(index, first start, number of starts, new) of rows for records of hot grams.
+
+    Runs that a record or string met before repeats are settled; every other string is a row (`new`).
+    places: (doc, tie, start in the text) of the first start of each record.
+    """
+    raw, out = data.tobytes(), []
+    for i, (g, a, n, o, (doc, tie, start)) in enumerate(zip(gram.tolist(), first.tolist(), number.tolist(), offset.tolist(), places, strict=True)):
+        if met[0].earlier((g, o, raw[a : a + n + LENGTH - 1]), (doc, tie, start)):
+            out.append((i, a, n, False))
+            continue
+        for k in range(n):
+            again = met[1].earlier((g, o - k, raw[a + k : a + k + LENGTH]), (doc, tie, start + k))
+            if again and k and not out[-1][3]:
+                out[-1] = i, out[-1][1], out[-1][2] + 1, False
+            else:
+                out.append((i, a + k, 1, not again))
+    return tuple(np.array(x) for x in zip(*out, strict=True))
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
@@ -264,70 +371,73 @@ def removed_runs(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [anchors(data)[0] for t in batch.column(0).to_pylist() for _, data in stretches(t)]
+            found = [anchors(data, ends)[0] for data, _, _, ends in packs(batch.column(0).to_pylist())]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["gram"])
 
     counts = docs.select("text").mapInArrow(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     counts = materialize(counts, "grams")
-    total, n_hot = counts.agg(F.sum("n"), F.count(F.when(F.col("n") > HOT, 1))).first()
-    known = spark.sparkContext.broadcast(_bits(counts, KNOWN_BITS))
-    hot = spark.sparkContext.broadcast(_bits(counts.filter(F.col("n") > HOT), HOT_BITS))
+    n_grams, total, n_hot = counts.agg(F.count("*"), F.sum("n"), F.count(F.when(F.col("n") > HOT, 1))).first()
+    known = spark.sparkContext.broadcast(_bits(counts, n_grams))
+    hot = spark.sparkContext.broadcast(_bits(counts.filter(F.col("n") > HOT), n_hot) if n_hot else None)
     groups = max(1, int((total or 0) * (LENGTH + 80) // GROUP_BYTES))
+    remembered = REMEMBERED
 
     def records(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ["doc", "tie", "gram", "first", "number", "offset", "span", "group"]
+        met = Met(remembered), Met(remembered)
+
+        def rows(doc, tie, gram, first, number, offset, span):
+            columns = [doc, tie, gram, first.astype(np.int32), number.astype(np.int32), offset.astype(np.int32), span, np.mod(gram, groups)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
+
         for batch in batches:
-            for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for a, data in stretches(text):
-                    gram, first, number, offset = anchors(data)
-                    keep = np.flatnonzero(_has(known.value, gram, KNOWN_BITS) & ~_has(hot.value, gram, HOT_BITS))
-                    if len(keep):
-                        first, number = first[keep], number[keep]
-                        raw = data.tobytes()
-                        spans = [raw[f : f + n + LENGTH - 1] for f, n in zip(first.tolist(), number.tolist(), strict=True)]
-                        columns = [np.full(len(keep), doc), np.full(len(keep), tie), gram[keep], (first + a).astype(np.int32), number.astype(np.int32), offset[keep].astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(spans, pa.binary())], names=["doc", "tie", "gram", "first", "number", "offset", "span"])
+            ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for data, row, start, ends in packs(batch.column(2).to_pylist()):
+                gram, first, number, offset = anchors(data, ends)
+                keep = np.flatnonzero(_has(known.value, gram))
+                gram, first, number, offset = gram[keep], first[keep], number[keep], offset[keep]
+                piece = np.searchsorted(ends, first, "right")
+                # from the place in `data` to that in the text
+                shift = (start - np.append(0, ends[:-1]))[piece]
+                doc, tie = ids[row[piece]], ties[row[piece]]
+                if hot.value is not None and len(common := np.flatnonzero(is_hot := _has(hot.value, gram))):
+                    places = list(zip(doc[common].tolist(), tie[common].tolist(), (first + shift)[common].tolist(), strict=True))
+                    i, a, n, new = hot_rows(data, places, gram[common], first[common], number[common], offset[common], met)
+                    i = common[i]
+                    # a string is grouped by its own hash, settled runs are spread out
+                    name = np.where(new, Hashes(data).all_of(LENGTH)[a].view(np.int64), doc[i] + a)
+                    spans = pieces(data, a, np.where(new, LENGTH, 0))
+                    yield rows(doc[i], tie[i], name, a + shift[i], n, np.where(new, 0, SETTLED), spans)
+                    rest = np.flatnonzero(~is_hot)
+                    doc, tie, gram, first, number, offset, shift = (x[rest] for x in (doc, tie, gram, first, number, offset, shift))
+                if len(gram):
+                    yield rows(doc, tie, gram, first + shift, number, offset, pieces(data, first, number + LENGTH - 1))
 
     def compare(table):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        col = lambda c: table.column(c).to_numpy().astype(np.int64)
+        settled = pc.equal(table.column("offset"), SETTLED)
+        done, table = table.filter(settled), table.filter(pc.invert(settled))
+        col = lambda c, t=table: t.column(c).to_numpy().astype(np.int64)
         doc, tie = col("doc"), col("tie")
-        spans = table.column("span").combine_chunks()
-        spans = spans.chunk(0) if isinstance(spans, pa.ChunkedArray) else spans
-        record, first, number = group_repeats(col("gram"), doc, tie, col("first"), col("number"), col("offset"), spans)
-        return pa.table({"doc": doc[record], "tie": tie[record], "first": first, "number": number})
+        out = {c: col(c, done) for c in ("doc", "tie", "first", "number")}
+        if len(table):
+            spans = table.column("span").combine_chunks()
+            spans = spans.chunk(0) if isinstance(spans, pa.ChunkedArray) else spans
+            record, first, number = group_repeats(col("gram"), doc, tie, col("first"), col("number"), col("offset"), spans)
+            found = {"doc": doc[record], "tie": tie[record], "first": first, "number": number}
+            out = {c: np.concatenate((out[c], found[c])) for c in out}
+        return pa.table(out)
 
     out = "doc long, tie long, first long, number long"
-    rows = docs.select("doc", "tie", "text").mapInArrow(records, "doc long, tie long, gram long, first int, number int, offset int, span binary")
-    grouped = rows.withColumn("group", F.pmod("gram", F.lit(groups))).groupBy("group")
-    runs = materialize(grouped.applyInArrow(compare, out), "runs")
-    return runs.unionByName(_hot_runs(docs, hot)) if n_hot else runs
-
-
-def _hot_runs(docs: DataFrame, hot) -> DataFrame:
-    """The same for the hot grams, one string at a time."""
-
-    def strings(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for a, data in stretches(text):
-                    gram, first, number, _ = anchors(data)
-                    keep = _has(hot.value, gram, HOT_BITS)
-                    starts = np.repeat(first[keep], number[keep]) + (np.arange(number[keep].sum()) - np.repeat(np.cumsum(number[keep]) - number[keep], number[keep]))
-                    if len(starts):
-                        names = [Hashes(data, which=k).all_of(LENGTH)[starts].view(np.int64) for k in range(2)]
-                        columns = [np.full(len(starts), doc), np.full(len(starts), tie), starts + a, *names]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["doc", "tie", "first", "k1", "k2"])
-
-    rows = materialize(docs.select("doc", "tie", "text").mapInArrow(strings, "doc long, tie long, first long, k1 long, k2 long"), "strings")
-    earliest = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "tie", "first")).alias("e"), F.count("*").alias("n")).filter("n > 1")
-    again = rows.join(earliest, ["k1", "k2"]).filter(F.struct("doc", "tie", "first") > F.col("e"))
-    return again.select("doc", "tie", "first", F.lit(1).cast("long").alias("number"))
+    rows = docs.select("doc", "tie", "text").mapInArrow(
+        records, "doc long, tie long, gram long, first int, number int, offset int, span binary, group long"
+    )
+    return materialize(rows.groupBy("group").applyInArrow(compare, out), "runs")
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from lexigauge.llm import suffix_dedup
+from pyspark.sql import functions as F
 
 
 def plain(rows):
@@ -64,6 +65,67 @@ def test_small_chunks_and_hot_grams(spark, monkeypatch):
     check(spark, corpus())
 
 
+def test_tasks_that_forget_hot_strings(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "REMEMBERED", 5)
+    check(spark, corpus())
+
+
+def test_bits_grow_with_the_grams(spark):
+    n = 2_500_000
+    grams = spark.range(n).select(F.xxhash64("id").alias("gram"))
+    bits = suffix_dedup._bits(grams, n)
+    others = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 200_000)
+    assert suffix_dedup._has(bits, others).mean() < 0.08
+    some = np.array([r.gram for r in grams.limit(500).collect()])
+    assert suffix_dedup._has(bits, some).all()
+
+
+def test_copies_of_hot_records_are_settled_where_they_are_met():
+    rnd = np.random.default_rng(5)
+    passage, met = rnd.integers(97, 123, 140, dtype=np.uint8), (suffix_dedup.Met(1000), suffix_dedup.Met(1000))
+    sent = []
+    for doc in range(200):
+        _, first, number, offset = suffix_dedup.anchors(passage)
+        places = [(doc, 0, a) for a in first.tolist()]
+        sent.append([int(x[3]) for x in zip(*suffix_dedup.hot_rows(passage, places, first, first, number, offset, met), strict=True)])
+    assert sum(sent[0]) == 41  # every string of the first
+    assert not any(map(any, sent[1:])) and max(map(len, sent[1:])) <= len(first)
+
+
+def test_suffixes_that_cannot_be_repeated_are_not_compared(monkeypatch):
+    rnd = np.random.default_rng(6)
+    n, shared = 3000, rnd.integers(0, 256, 150, dtype=np.uint8)
+    rows = rnd.integers(0, 256, (n, 150), dtype=np.uint8)
+    rows[[5, 700, 2900]] = shared
+    rows[:, 50:82] = shared[50:82]  # one gram
+    pairs, plain_of = [], suffix_dedup.Hashes.of
+    monkeypatch.setattr(suffix_dedup.Hashes, "of", lambda self, a, local, k: pairs.append(len(a)) or plain_of(self, a, local, k))
+    local = np.tile(np.arange(150), n)
+    found = suffix_dedup.repeated(rows.ravel(), np.arange(n) * 150, local, np.zeros(n, np.int64))
+    assert np.flatnonzero(found).tolist() == [700, 2900]
+    assert sum(pairs) < 3 * n
+
+
+def test_packed_texts_have_the_anchors_of_each():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab cé") for _ in range(rnd.choice([0, 99, 100, 101, 400, 70_000]))) for _ in range(60)] + [None, "a" * 300, "a" * 300]
+    want = [
+        (row, *(int(x) for x in run))
+        for row, t in enumerate(texts)
+        for a, d in suffix_dedup.stretches(t)
+        for g, f, n, o in [suffix_dedup.anchors(d)]
+        for run in zip(g, f + a, n, o, strict=True)
+    ]
+    got = []
+    for data, row, start, ends in suffix_dedup.packs(texts):
+        g, f, n, o = suffix_dedup.anchors(data, ends)
+        piece = np.searchsorted(ends, f, "right")
+        place = f + (start - np.append(0, ends[:-1]))[piece]
+        got += [tuple(int(x) for x in run) for run in zip(row[piece], g, place, n, o, strict=True)]
+    assert got == want
+
+
 def test_stretches_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
     rnd = np.random.default_rng(0)
